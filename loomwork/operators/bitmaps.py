@@ -66,8 +66,8 @@ def bitmap_positions(bitmaps: DataFrame) -> DataFrame:
         .where(F.col("byte") != 0)
     )
     bits = F.filter(F.sequence(F.lit(0), F.lit(7)), lambda b: F.getbit(F.col("byte"), b) == 1)
-    return per_byte.select(
-        ((F.col("bucket") - 1) * BUCKET_BITS + F.col("i") * 8 + F.explode(bits)).alias("position"))
+    return per_byte.select("bucket", "i", F.explode(bits).alias("bit")).select(
+        ((F.col("bucket") - 1) * BUCKET_BITS + F.col("i") * 8 + F.col("bit")).alias("position"))
 
 
 def bitmap_contains(df: DataFrame, column: str, bitmaps: DataFrame) -> DataFrame:

@@ -114,6 +114,12 @@ def unique_combinations_width3(spark, d):
     return uniqueness.unique_combinations(table(spark, d, "lineitem"), max_width=3)
 
 
+@query()
+def unique_combinations_lineitem(spark, d):
+    """All minimal unique sets of any width; SQL would count 2047 sets."""
+    return uniqueness.unique_combinations(table(spark, d, "lineitem"))
+
+
 @query("SELECT columns, distinct_rows FROM (" + _counts_sql("supplier", None) + ")")
 def combination_counts(spark, d):
     cols = COLUMNS["supplier"]

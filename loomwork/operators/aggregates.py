@@ -24,25 +24,32 @@ def joined_text(df: DataFrame, value: str, by: Sequence[str], sep: str = ",",
     )
 
 
-def joined_text_pieces(df: DataFrame, value: str, sep: str = ",",
-                       pieces: int | None = None) -> DataFrame:
+def joined_text_pieces(df: DataFrame, value: str, sep: str = ",", pieces: int | None = None,
+                       block: int = 1000) -> DataFrame:
     """All values of a column, sorted and joined, as ordered pieces.
 
     Reducing a column to one string puts the whole column into one task. Here a
     range partitioning cuts the sorted values into ``pieces`` tasks, and the
     text of the reduction is the pieces joined with ``sep`` in ``piece`` order.
-    Equal values are spread by a random second key, so no value is too frequent
-    for one piece.
+    Repeats are counted first and dealt out in blocks, so a value that fills a
+    third of the column spreads over as many pieces as any other third.
     """
-    rows = df.where(F.col(value).isNotNull()).select(F.col(value).cast("string").alias("v"))
     pieces = pieces or max(df.sparkSession.sparkContext.defaultParallelism, 1)
-    ranged = rows.repartitionByRange(pieces, "v", F.rand(7))
-    return (
-        ranged.select(F.spark_partition_id().alias("piece"), "v")
-        .groupBy("piece")
-        .agg(F.count(F.lit(1)).alias("items"),
-             F.expr(f"listagg(v, '{sep}') WITHIN GROUP (ORDER BY v)").alias("joined"))
+    counted = (
+        df.where(F.col(value).isNotNull())
+        .groupBy(F.col(value).cast("string").alias("v")).agg(F.count(F.lit(1)).alias("n"))
     )
+    b, size = F.col("b"), F.lit(block).cast("long")
+    blocks = counted.select(
+        "v", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / size)))
+        .alias("b")
+    ).select("v", "b", F.least(size, F.col("n") - b * size).cast("int").alias("times"))
+    ranged = blocks.repartitionByRange(pieces, "v", "b").select(
+        F.spark_partition_id().alias("piece"), "v", "b", "times",
+        F.array_join(F.array_repeat(F.col("v"), F.col("times")), sep).alias("text"))
+    return ranged.groupBy("piece").agg(
+        F.sum("times").alias("items"),
+        F.expr(f"listagg(text, '{sep}') WITHIN GROUP (ORDER BY v, b)").alias("joined"))
 
 
 def number_list_pieces(df: DataFrame, number: str, width: int = 100_000,

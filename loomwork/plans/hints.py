@@ -32,28 +32,26 @@ def eliminate(entities: DataFrame, solved: DataFrame) -> DataFrame:
     removed characters, which is never larger than the alphabet, whatever the
     number of hint rows.
     """
-    alphabet = entities.select("id", "alphabet")
-    lacking = F.when(
-        F.col("value").isNotNull() & (F.col("value") != ""),
-        F.array_except(characters(F.col("alphabet")), characters(F.col("value"))))
-    per_hint = solved.join(alphabet, "id").select(
-        "id", "alphabet", lacking.alias("lacking"))
-    progress = per_hint.groupBy("id").agg(
-        F.count(F.lit(1)).alias("hints"), F.count("lacking").alias("solved_hints"))
-    removed = (
-        per_hint.select("id", F.explode("lacking").alias("ch"))
-        .groupBy("id").agg(F.collect_set("ch").alias("removed"))
-    )
-    return (
-        alphabet.join(progress, "id", "left").join(removed, "id", "left")
-        .select(
-            "id",
-            F.array_join(F.array_except(
-                characters(F.col("alphabet")),
-                F.coalesce("removed", F.array().cast("array<string>"))), "").alias("remaining"),
-            F.coalesce("solved_hints", F.lit(0).cast("long")).alias("solved_hints"),
-            F.coalesce(F.col("hints") == F.col("solved_hints"), F.lit(False)).alias("complete"))
-    )
+    has_value = F.col("value").isNotNull() & (F.col("value") != "")
+    lacking = F.when(has_value, F.array_except(
+        characters(F.col("alphabet")), characters(F.col("value"))))
+    # one join by id, whose partitioning also serves the aggregate
+    per_hint = entities.select("id", "alphabet").join(
+        solved.select("id", "hint_no", "value"), "id", "left"
+    ).select("id", "alphabet", F.col("hint_no").isNotNull().alias("hint"),
+             (F.col("hint_no").isNotNull() & has_value).alias("solved"),
+             F.posexplode_outer(lacking).alias("nth", "ch"))
+    first = F.col("nth").isNull() | (F.col("nth") == 0)  # one row of each hint
+    progress = per_hint.groupBy("id", "alphabet").agg(
+        F.count_if(first & F.col("hint")).alias("hints"),
+        F.count_if(first & F.col("solved")).alias("solved_hints"),
+        F.collect_set("ch").alias("removed"))
+    return progress.select(
+        "id",
+        F.array_join(F.array_except(characters(F.col("alphabet")), F.col("removed")), "")
+        .alias("remaining"),
+        "solved_hints",
+        ((F.col("hints") > 0) & (F.col("hints") == F.col("solved_hints"))).alias("complete"))
 
 
 def resolve_entities(entities: DataFrame, hint_values: DataFrame, values: DataFrame,

@@ -24,8 +24,12 @@ def test_numbers_walk(spark):
 
 def test_joined_pieces_spread_a_hot_value(spark):
     hot = inline.number_range(spark, 1, 400).select(F.lit("x").alias("v"))
-    pieces = aggregates.joined_text_pieces(hot, "v", pieces=4).collect()
+    pieces = aggregates.joined_text_pieces(hot, "v", pieces=4, block=30).orderBy("piece").collect()
     assert sum(r["items"] for r in pieces) == 400 and max(r["items"] for r in pieces) < 400
+    assert ",".join(r["joined"] for r in pieces) == ",".join(["x"] * 400)
+    close = spark.createDataFrame([(v,) for v in ["a", "a!", "a", "a,", "a"]], "v string")
+    pieces = aggregates.joined_text_pieces(close, "v", "-", pieces=2, block=2).orderBy("piece")
+    assert "-".join(col(pieces, "joined")) == "a-a-a-a!-a,"
 
 
 def test_inline_records(spark):

@@ -93,19 +93,40 @@ def logical_length(df: DataFrame, position: str) -> DataFrame:
                   .alias("length"))
 
 
+def _range_bitmap(first: Column, last: Column) -> Column:
+    """A bucket's bitmap with the bits ``first`` to ``last`` set."""
+    a, b = F.floor(first / 8).cast("int"), F.floor(last / 8).cast("int")
+    from_low = F.lit(255).bitwiseAND(F.call_function("shiftleft", F.lit(255), first % 8))
+    to_high = F.call_function("shiftright", F.lit(255), 7 - last % 8)
+
+    def byte(value: Column) -> Column:
+        return F.lpad(F.hex(value), 2, "0")
+
+    def run(text: str, times: Column) -> Column:
+        return F.repeat(F.lit(text), times)
+
+    inner = F.when(a == b, byte(from_low.bitwiseAND(to_high))).otherwise(
+        F.concat(byte(from_low), run("FF", b - a - 1), byte(to_high)))
+    return F.unhex(F.concat(run("00", a), inner, run("00", F.lit(BUCKET_BITS // 8 - 1) - b)))
+
+
 def bitmap_from_ranges(ranges: DataFrame, low: str, high: str,
                        by: Sequence[str] = ()) -> DataFrame:
     """The set of all positions in the half-open ranges ``[low, high)``.
 
-    A range is cut at bucket borders first, so that one row never expands to
-    more than the positions of one bucket.
+    A range is cut at bucket borders and each piece becomes a bitmap at once, so
+    the work goes by ranges and buckets and not by positions. Overlapping pieces
+    of a bucket are combined inside each task before the shuffle.
     """
     lo, hi = F.col(low).cast("long"), F.col(high).cast("long")
     size = F.lit(BUCKET_BITS).cast("long")
     cut = ranges.where(lo < hi).select(
         *by, lo.alias("__lo"), hi.alias("__hi"),
         F.explode(F.sequence(F.floor(lo / size), F.floor((hi - 1) / size))).alias("__b"))
-    inside = cut.select(*by, F.explode(F.sequence(
-        F.greatest(F.col("__lo"), F.col("__b") * size),
-        F.least(F.col("__hi"), (F.col("__b") + 1) * size) - 1)).alias("__pos"))
-    return bitmap_build(inside, "__pos", by)
+    start = F.col("__b") * size
+    pieces = cut.select(
+        *by, (F.col("__b") + 1).alias("bucket"),
+        (F.greatest(F.col("__lo"), start) - start).cast("int").alias("__first"),
+        (F.least(F.col("__hi"), start + size) - 1 - start).cast("int").alias("__last"))
+    return bitmap_union(pieces.select(
+        *by, "bucket", _range_bitmap(F.col("__first"), F.col("__last")).alias("bitmap")), by)

@@ -137,6 +137,11 @@ def test_bitmaps(spark):
     ranges = spark.createDataFrame([(5, 5), (9, 3), (32760, 98310)], "lo long, hi long")
     assert bitmaps.bitmap_cardinality(
         bitmaps.bitmap_from_ranges(ranges, "lo", "hi")).first()["cardinality"] == 98310 - 32760
+    short = [(0, 1), (3, 6), (7, 17), (40, 48), (49, 50), (32767, 32770)]
+    made = bitmaps.bitmap_from_ranges(
+        spark.createDataFrame(short, "lo long, hi long"), "lo", "hi")
+    assert sorted(col(bitmaps.bitmap_positions(made), "position")) == [
+        p for lo, hi in short for p in range(lo, hi)]
     none = spark.createDataFrame([], "k long")
     assert bitmaps.logical_length(none, "k").first()["length"] == 0
 

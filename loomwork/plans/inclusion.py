@@ -2,20 +2,24 @@
 
 A column is included in another if all its non-null values, as text, occur there.
 
-Every value gets the set of attributes it occurs in, as a bit mask, so the one
-large shuffle is a hash aggregate over ``(value, mask)`` with fixed-width
-buffers: repeated values and hot values collapse inside each task first. All
-that is left afterwards is the distinct masks with their number of values, whose
-size depends on the schema. The attributes containing all of a column's values
-are the AND over the masks that include it.
+Every value gets the set of attributes it occurs in, as a bit mask. That is a hash
+aggregate over ``(value, mask)`` with fixed-width buffers, so repeated values and
+hot values collapse inside each task before they move. It runs on the native
+values of each type first, and only the distinct values are turned into text and
+combined across types: making text of every cell would cost far more than the
+additional shuffle of distinct numbers. All that is left afterwards is the distinct masks with
+their number of values, whose size depends on the schema. The attributes
+containing all of a column's values are the AND over the masks that include it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomwork.functions import inclusion_line
 
@@ -30,31 +34,48 @@ def _words(n: int) -> list[str]:
     return [f"w{i}" for i in range((n + WORD_BITS - 1) // WORD_BITS)]
 
 
+def _native_type(data_type: T.DataType) -> str | None:
+    """The type whose equal values have equal text, or None to compare as text."""
+    if isinstance(data_type, T.IntegralType):
+        return "bigint"
+    if isinstance(data_type, (T.FractionalType, T.BooleanType, T.DatetimeType)):
+        return data_type.simpleString()
+    return None
+
+
 def weighted_attribute_sets(tables: Mapping[str, DataFrame]) -> DataFrame:
     """Distinct attribute sets as mask words ``w0, w1, …`` with their ``weight``,
     the number of distinct values that occur in exactly these attributes."""
     names = attribute_names(tables)
+    words = _words(len(names))
     number = {a: i for i, a in enumerate(names)}
-    cells = None
+    cells: dict[str | None, list[DataFrame]] = {}
     for table, df in tables.items():
-        entries = []
-        for c in df.columns:
-            i = number[f"{table}.{c}"]
-            entries.append(f"{i // WORD_BITS}, {1 << (i % WORD_BITS)}L, cast(`{c}` as string)")
-        part = df.selectExpr(
-            f"stack({len(entries)}, {', '.join(entries)}) as (word, mask, value)"
-        ).where(F.col("value").isNotNull())
-        cells = part if cells is None else cells.unionByName(part)
-    words = _words(len(names))
-    masks = [
-        F.bit_or(F.when(F.col("word") == i, F.col("mask")).otherwise(F.lit(0).cast("long"))
-                 if len(words) > 1 else F.col("mask")).alias(w)
-        for i, w in enumerate(words)
-    ]
-    by_value = cells.groupBy("value").agg(*masks)
+        by_type: dict[str | None, list[str]] = {}
+        for field in df.schema:
+            native, i = _native_type(field.dataType), number[f"{table}.{field.name}"]
+            masks = ", ".join(f"{1 << (i % WORD_BITS) if i // WORD_BITS == w else 0}L"
+                              for w in range(len(words)))
+            by_type.setdefault(native, []).append(
+                f"{masks}, cast(`{field.name}` as {native or 'string'})")
+        # each type reads its own columns only, so no column is read twice
+        for native, entries in by_type.items():
+            part = df.selectExpr(
+                f"stack({len(entries)}, {', '.join(entries)}) as ({', '.join(words)}, value)")
+            cells.setdefault(native, []).append(part.where(F.col("value").isNotNull()))
+    texts = []
+    for native, parts in cells.items():
+        part = reduce(DataFrame.unionAll, parts)
+        texts.append(part if native is None else _masks_by_value(part, words).withColumn(
+            "value", F.col("value").cast("string")).select(*words, "value"))
+    by_value = _masks_by_value(reduce(DataFrame.unionAll, texts), words)
     return by_value.groupBy(*words).agg(F.count(F.lit(1)).alias("weight"))
 
 
+def _masks_by_value(cells: DataFrame, words: list[str]) -> DataFrame:
+    return cells.groupBy("value").agg(*[F.bit_or(w).alias(w) for w in words])
+
+
 def _has(number: Column, words: list[str]) -> Column:
     word = F.element_at(F.array(*words), (F.floor(number / WORD_BITS) + 1).cast("int"))
     return F.getbit(word, (number % WORD_BITS).cast("int")) == 1

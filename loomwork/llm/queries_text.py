@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomwork.llm import langid, pii
+from loomwork.llm import jaccard, langid, pii
 from loomwork.llm.registry import query, table
 
 
@@ -26,3 +26,8 @@ def op3_language(spark, d):
     model = langid.fit(docs.where(~apart))
     return langid.identify(docs.select("doc_id", apart.alias("held_out"), "text"), model).drop(
         "text")
+
+
+@query()
+def op5_similar_documents(spark, d):
+    return jaccard.similar_documents(table(spark, d, "documents"), width=3, num=90, den=100)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomwork.llm import jaccard, langid, pii
+from loomwork.llm import covertree, jaccard, langid, passages, pii
 from loomwork.llm.registry import query, table
 
 
@@ -31,3 +31,13 @@ def op3_language(spark, d):
 @query()
 def op5_similar_documents(spark, d):
     return jaccard.similar_documents(table(spark, d, "documents"), width=3, num=90, den=100)
+
+
+@query()
+def op4_similar_vectors(spark, d):
+    return covertree.similar_vectors(table(spark, d, "embeddings"))
+
+
+@query()
+def op6_repeated_passages(spark, d):
+    return passages.repeated_passages(table(spark, d, "documents"))

@@ -32,7 +32,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the base and of its inverse, modulo 2**64."""
     if len(_powers["up"]) < n:
         for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
@@ -73,7 +73,7 @@ def word_hashes(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.n
     edge[offsets] = True
     starts = np.flatnonzero(inside & (edge[:-1] | ~np.concatenate(([False], inside[:-1]))))
     ends = np.flatnonzero(inside & (edge[1:] | ~np.concatenate((inside[1:], [False])))) + 1
-    up, down = _power(len(data))
+    up, down = powers(len(data))
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_FOLDED[data] * up, out=sums[1:])
     hashes = mix((sums[ends] - sums[starts]) * down[starts])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomwork.llm import covertree, jaccard, langid, passages, pii
+from loomwork.llm import covertree, jaccard, langid, licenses, passages, pii
 from loomwork.llm.registry import query, table
 
 
@@ -41,3 +41,9 @@ def op4_similar_vectors(spark, d):
 @query()
 def op6_repeated_passages(spark, d):
     return passages.repeated_passages(table(spark, d, "documents"))
+
+
+@query()
+def op7_license_scan(spark, d):
+    docs = table(spark, d, "documents")
+    return licenses.scan(docs, licenses.train(docs))

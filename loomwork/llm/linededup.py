@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwork.session import materialize
+from loomwork.llm.steps import materialize
 
 MIN_CHARS = 50
 _LINE = "struct<at:int,h1:bigint,h2:bigint,chars:int>"
@@ -63,7 +63,9 @@ def _earlier(levels: list[DataFrame]) -> DataFrame:
         step = 1 << k
         ranks = levels[k].select(F.col("g").alias("_at"), F.col("rank").alias("next"))
         looked = state.join(ranks, F.col("g") + F.col("lines") == F.col("_at"), "left").drop("_at")
-        parts = (looked.where("next IS NOT NULL").groupBy("first", "lines", "next")
+        # where no repeated run goes on, a number of its own keeps rows apart in the join
+        looked = looked.withColumn("next", F.coalesce("next", -1 - F.col("g")))
+        parts = (looked.where("next >= 0").groupBy("first", "lines", "next")
                  .agg(F.min("g").alias("low"), F.count("*").alias("n")).where("n > 1").drop("n"))
         longer = (F.col("lines") + step).alias("lines")
         stay = F.struct("first", "lines", "g", "mark")

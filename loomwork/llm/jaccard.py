@@ -10,12 +10,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwork.llm.components import components
+from loomwork.llm.steps import materialize
 from loomwork.llm.words import chunks, mix, shingle_hashes, word_hashes
-from loomwork.session import materialize
 
 COUNTERS = 1 << 20  # of the frequency summary that every task gets: one byte each
 BLOCK = 1024
-PARTS = 32  # of the hash space, for the suffix filter
+TURNS = 6  # with other hubs, at most, before all pairs that are left
+WORTH = 20  # a turn that links less than one in so many of its pairs is the last
+PARTS = 1024  # of the hash space, for the suffix filter: one bit each
 _TOKEN_SHIFT = np.uint64(9)
 
 
@@ -88,7 +90,8 @@ def _add_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _prefixes(shared, width: int, num: int, den: int):
-    """Per row the rarest tokens of its set, in order, and its size by part of the hash space."""
+    """Per row the rarest tokens of its set, in order, and the parity of its size in each part
+    of the hash space."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = np.frombuffer(shared.value, np.uint8)
         for batch in batches:
@@ -104,14 +107,15 @@ def _prefixes(shared, width: int, num: int, den: int):
                 if keep < len(order):
                     order = np.partition(order, keep - 1)[:keep] if keep else order[:0]
                 tokens.append(np.sort(order).view(np.int64))
-                parts.append(np.bincount((found & np.uint64(PARTS - 1)).astype(np.int64),
-                                         minlength=PARTS))
+                odd = np.bincount((found & np.uint64(PARTS - 1)).astype(np.int64),
+                                  minlength=PARTS) & 1
+                parts.append(np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64))
             ends = np.cumsum([0] + [len(t) for t in tokens]).astype(np.int32)
             flat = np.concatenate(tokens) if tokens else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(one, pa.int64()),
                  pa.array(two, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
-                 pa.array([p.tolist() for p in parts], pa.list_(pa.int32()))],
+                 pa.array([p.tolist() for p in parts], pa.list_(pa.int64()))],
                 ["doc_id", "n", "sig1", "sig2", "tokens", "parts"])
     return run
 
@@ -133,6 +137,18 @@ def _verify(width: int, num: int, den: int):
     return run
 
 
+def _may_link(x: str, y: str, num: int, den: int) -> F.Column:
+    """The suffix filter on columns ``n_x, parts_x, n_y, parts_y``.
+
+    Sets of n and m tokens link if they differ in ``(den - num) * (n + m) / (den + num)``
+    tokens at most. In each part of the hash space where one size is odd and the
+    other even they differ in one at least.
+    """
+    odd = [F.bit_count(F.get(f"parts_{x}", F.lit(i)).bitwiseXOR(F.get(f"parts_{y}", F.lit(i))))
+           for i in range(PARTS // 64)]
+    return sum(odd[1:], odd[0]) * (num + den) <= (F.col(f"n_{x}") + F.col(f"n_{y}")) * (den - num)
+
+
 class _Join:
     """What the steps of one join share."""
 
@@ -141,23 +157,14 @@ class _Join:
         self.texts, self.width, self.num, self.den = texts, width, num, den
 
     def linked(self, pairs: DataFrame) -> DataFrame:
-        """Links among distinct pairs ``(a, b)``: length and suffix filter, then the texts.
-
-        Sets of n and m tokens need ``num * (n + m) / (num + den)`` in common. Each
-        part of the hash space can hold no more common tokens than the smaller of
-        the two sets has there; equal parts of both suffixes bound the overlap.
-        """
+        """Links among distinct pairs ``(a, b)``: length and suffix filter, then the texts."""
         num, den = self.num, self.den
-        a = self.meta.select(F.col("node").alias("a"), F.col("n").alias("n_a"),
-                             F.col("parts").alias("parts_a"))
-        b = self.meta.select(F.col("node").alias("b"), F.col("n").alias("n_b"),
-                             F.col("parts").alias("parts_b"))
-        bound = F.aggregate(F.zip_with("parts_a", "parts_b", lambda x, y: F.least(x, y)), F.lit(0).cast("long"),
-                            lambda s, x: s + x)
+        side = lambda k: self.meta.select(*[
+            F.col(c).alias(k if c == "node" else f"{c}_{k}") for c in ("node", "n", "parts")])
+        a, b = side("a"), side("b")
         left = (pairs.join(a, "a").join(b, "b")
                 .where(F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num)
-                .where(bound * (num + den) >= (F.col("n_a") + F.col("n_b")) * num)
-                .select("a", "b"))
+                .where(_may_link("a", "b", num, den)).select("a", "b"))
         t = self.texts
         full = (left.join(t.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
                 .join(t.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b"))
@@ -166,7 +173,27 @@ class _Join:
         return materialize(checked.where("linked").select("a", "b"), "links")
 
 
-def _crossing(postings: DataFrame, comps: DataFrame, num: int, den: int) -> DataFrame:
+def _mixed(postings: DataFrame, comps: DataFrame) -> DataFrame:
+    """Postings of the tokens that stand in more than one component, with ``comp``."""
+    own = (postings.join(comps, "node", "left")
+           .withColumn("comp", F.coalesce("component", "node")).drop("component"))
+    spread = own.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
+    return materialize(own.join(spread.where("low <> high").select("token"), "token"), "mixed")
+
+
+def _hub_pairs(mixed: DataFrame, turn: int) -> DataFrame:
+    """Each node of a token with the token's hub of this turn, if their components differ."""
+    draw = F.xxhash64("node", F.lit(turn))
+    hubs = (mixed.groupBy("token").agg(F.min(draw).alias("draw")))
+    hub = mixed.select("token", draw.alias("draw"), *[
+        F.col(c).alias(f"{c}_h") for c in ("node", "n", "comp")])
+    chosen = hub.join(hubs, ["token", "draw"]).drop("draw")
+    met = mixed.join(chosen, "token").where("comp <> comp_h")
+    return met.select(F.least("node", "node_h").alias("a"),
+                      F.greatest("node", "node_h").alias("b")).distinct()
+
+
+def _crossing(mixed: DataFrame, meta: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs of different components that share a prefix token and pass the filters.
 
     Of a token's components the one with most sets is never paired with itself:
@@ -174,26 +201,25 @@ def _crossing(postings: DataFrame, comps: DataFrame, num: int, den: int) -> Data
     belong together costs nothing. The first shared token's positions bound what
     two sets can share.
     """
-    own = (postings.join(comps, "node", "left")
-           .withColumn("comp", F.coalesce("component", "node")).drop("component"))
-    spread = own.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
-    mixed = materialize(own.join(spread.where("low <> high").select("token"), "token"), "mixed")
     sizes = mixed.groupBy("token", "comp").count()
     first = F.row_number().over(Window.partitionBy("token").orderBy(F.desc("count"), "comp"))
     main = sizes.withColumn("r", first).where("r = 1").select("token", F.col("comp").alias("main"))
-    tagged = mixed.join(main, "token")
+    tagged = mixed.join(main, "token").join(meta.select("node", "parts"), "node")
+    kept = ("node", "n", "at", "comp", "parts")
     x = tagged.where("comp <> main").select(
-        "token", *[F.col(c).alias(f"{c}_x") for c in ("node", "n", "at", "comp")])
+        "token", *[F.col(c).alias(f"{c}_x") for c in kept])
     y = tagged.select("token", "main",
-                      *[F.col(c).alias(f"{c}_y") for c in ("node", "n", "at", "comp")])
-    met = x.join(y, "token").where("comp_x <> comp_y AND (comp_y = main OR comp_y < comp_x)")
-    met = met.where(F.least("n_x", "n_y") * den >= F.greatest("n_x", "n_y") * num)
+                      *[F.col(c).alias(f"{c}_y") for c in kept])
+    within = F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y"))
+    before = F.least("at_x", "at_y")  # tokens that may be shared before this one
+    met = x.join(y, "token").where("comp_x <> comp_y AND (comp_y = main OR comp_y < comp_x)").where(
+        (F.least("n_x", "n_y") * den >= F.greatest("n_x", "n_y") * num)
+        & ((before + within) * (num + den) >= (F.col("n_x") + F.col("n_y")) * num)
+        & _may_link("x", "y", num, den))
+    side = lambda k: F.struct(*[F.col(f"{c}_{k}").alias(c) for c in ("node", "n", "at")])
     swap = F.col("node_x") < F.col("node_y")
-    pairs = met.select(
-        F.when(swap, F.struct(*[F.col(f"{c}_x").alias(c) for c in ("node", "n", "at")]))
-        .otherwise(F.struct(*[F.col(f"{c}_y").alias(c) for c in ("node", "n", "at")])).alias("p"),
-        F.when(swap, F.struct(*[F.col(f"{c}_y").alias(c) for c in ("node", "n", "at")]))
-        .otherwise(F.struct(*[F.col(f"{c}_x").alias(c) for c in ("node", "n", "at")])).alias("q"))
+    pairs = met.select(F.when(swap, side("x")).otherwise(side("y")).alias("p"),
+                       F.when(swap, side("y")).otherwise(side("x")).alias("q"))
     firsts = pairs.groupBy(
         F.col("p.node").alias("a"), F.col("q.node").alias("b"), F.col("p.n").alias("n_a"),
         F.col("q.n").alias("n_b")).agg(F.min("p.at").alias("at_a"), F.min("q.at").alias("at_b"))
@@ -215,8 +241,9 @@ def similar_documents(docs: DataFrame, width: int = 5, num: int = 80, den: int =
     3. Tokens of more than one node pair each node with the token's first node: no
        more pairs than postings. Pairs pass the length and suffix filters and are
        verified on the whole texts.
-    4. What is in different components still and shares a token is paired in full,
-       under the length, positional and suffix filters, and verified once per pair.
+    4. Where a token's nodes are in different components still, some turns with other
+       hubs join most of them. What is left apart and shares a token is paired in
+       full, under the length, positional and suffix filters, and verified once per pair.
 
     Only links inside a component that is known already are left out, so the classes
     are exact. ``docs`` needs ``doc_id, text``; other columns are ignored. Returns a
@@ -245,7 +272,7 @@ def similar_documents(docs: DataFrame, width: int = 5, num: int = 80, den: int =
     key = ["n", "sig1", "sig2"]
     listed = docs.mapInArrow(
         _prefixes(shared, width, num, den),
-        "doc_id long, n long, sig1 long, sig2 long, tokens array<long>, parts array<int>")
+        "doc_id long, n long, sig1 long, sig2 long, tokens array<long>, parts array<long>")
     listed = listed.where("n > 0").alias("l").join(classes.alias("c"), key).where(
         F.col("l.doc_id").eqNullSafe(F.col("c.low")))
     nodes = materialize(listed.select("node", "low", "n", "tokens", "parts"), "prefixes")
@@ -260,12 +287,22 @@ def similar_documents(docs: DataFrame, width: int = 5, num: int = 80, den: int =
         .dropDuplicates(["node"]), "texts")
 
     join = _Join(nodes, texts, width, num, den)
-    stars = materialize(postings.where("node <> hub").select(
+    met = materialize(postings.where("node <> hub").select(
         F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "stars")
-    links = join.linked(stars)
+    links = join.linked(met)
     comps = components(links, "a", "b")
-    cross = _crossing(postings.drop("hub"), comps, num, den).join(stars, ["a", "b"], "left_anti")
-    links = links.unionByName(join.linked(cross))
+    mixed = _mixed(postings.drop("hub"), comps)
+    for turn in range(TURNS):
+        fresh = materialize(_hub_pairs(mixed, turn).join(met, ["a", "b"], "left_anti"), "stars")
+        met = met.unionByName(fresh)
+        new = join.linked(fresh)
+        links = links.unionByName(new)
+        comps = components(links, "a", "b")
+        mixed = _mixed(mixed.drop("comp"), comps)
+        if new.count() * WORTH < fresh.count():
+            break
+    links = links.unionByName(join.linked(
+        _crossing(mixed, join.meta, num, den).join(met, ["a", "b"], "left_anti")))
 
     comps = components(links, "a", "b")
     member = classes.join(comps, "node", "left").withColumn(

@@ -170,7 +170,7 @@ class _Join:
                 .join(t.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b"))
         checked = full.mapInArrow(_verify(self.width, num, den),
                                   "a long, b long, linked boolean")
-        return materialize(checked.where("linked").select("a", "b"), "links")
+        return materialize(checked.where("linked").select("a", "b").distinct(), "links")
 
 
 def _mixed(postings: DataFrame, comps: DataFrame) -> DataFrame:
@@ -283,8 +283,7 @@ def similar_documents(docs: DataFrame, width: int = 5, num: int = 80, den: int =
         posted.join(common.where("hub <> top").select("token", "hub"), "token"), "postings")
     needed = postings.select("node").distinct().join(nodes.select("node", "low"), "node")
     texts = materialize(
-        docs.join(needed, F.col("doc_id").eqNullSafe(F.col("low"))).select("node", "text")
-        .dropDuplicates(["node"]), "texts")
+        docs.join(needed, F.col("doc_id").eqNullSafe(F.col("low"))).select("node", "text"), "texts")
 
     join = _Join(nodes, texts, width, num, den)
     met = materialize(postings.where("node <> hub").select(

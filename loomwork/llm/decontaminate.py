@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomwork.llm.steps import materialize
+from loomwork.llm.steps import bound_batches, materialize
 
 WINDOW_WORDS = 10
 AUTOMATON_CHARS = 2_000_000  # text of the windows in one automaton
@@ -150,6 +150,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = WINDOW_WORDS,
     ``hits``.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     found = windows(items, width)
     blocks = [r[0] for r in found.select("block").distinct().orderBy("block").collect()] or [0]
     columns = docs.columns if keep is None else keep

@@ -13,13 +13,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomwork.llm.words import mix
-from loomwork.llm.steps import materialize
+from loomwork.llm.steps import bound_batches, materialize
 
 SIZES = (3, 4)
 PROBES = 3
 SAMPLE_PER_LANGUAGE = 4000  # documents a language is learned from, about
 GRAMS_PER_LANGUAGE = 200_000
-CHUNK_CHARS = 1 << 20
+CHUNK_CHARS = 1 << 18
 UNKNOWN = "und"
 _letters: list[np.ndarray] = []
 
@@ -209,6 +209,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         named = shared.value.predict([t or "" for t in texts])
         return pd.DataFrame(dict(zip(("lang_pred", "score", "known_share"), named)))
 
+    bound_batches(docs.sparkSession)
     found = docs.withColumn("_found", predict("text"))
     return found.select(*[F.col(f"`{c}`") for c in docs.columns], "_found.*")
 

@@ -30,6 +30,12 @@ def _settings(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(k, v)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches for the session, for results that hold Python steps."""
+    for k in [k for k in STEP if ".arrow." in k]:
+        spark.conf.set(k, STEP[k])
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the end of a step."""
     with _settings(df.sparkSession):

@@ -1,7 +1,7 @@
 """Hashes of words and shingles for whole Arrow batches of text.
 
-Words are found and hashed straight in the UTF-8 buffer of a batch, about a
-megabyte at a time, so memory does not depend on the batch.
+Words are found and hashed straight in the UTF-8 buffer of a batch, about 256 kB at
+a time, so memory does not depend on the batch.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 _IS_SPACE = np.zeros(256, bool)

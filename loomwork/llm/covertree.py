@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +18,8 @@ SAMPLE = 4096  # vectors the cells' centres are chosen from
 LEAST_BLOCKS = 16
 BLOCK_BYTES = 4 << 20  # of vectors in one block
 TILE = 1 << 20  # pairs of vectors compared at once
-SLACK = 1e-9
+FEW = 20  # node pairs are walked one by one if fewer than one in so many is left
+SLACK = 1e-4  # bounds and first looks are in single precision; closer ones are summed in double
 
 
 class Tree:
@@ -42,14 +44,21 @@ class Tree:
                 node, radius = todo.pop()
                 if self.end[node] - self.begin[node] > 1 and self.radius[node] > 0:
                     todo += [(c, radius / 2) for c in self._split(node, radius)]
-        self.centres = points[self.centre]
+        self._finish()
+
+    def _finish(self) -> None:
+        self.centres = self.points[self.centre]
+        self.rough, self.rough_centres = (a.astype(np.float32) for a in (self.points, self.centres))
         self.radii = np.array(self.radius)
         self.sizes = np.array(self.end) - np.array(self.begin)
 
     def _add(self, centre: int, begin: int, end: int) -> int:
-        far = self.points[self.order[begin:end]] - self.points[centre]
+        radius = 0.0
+        if end - begin > 1:
+            far = self.points[self.order[begin:end]] - self.points[centre]
+            radius = float(np.sqrt((far * far).sum(1).max()))
         self.centre.append(centre)
-        self.radius.append(float(np.sqrt((far * far).sum(1).max())) if end - begin > 1 else 0.0)
+        self.radius.append(radius)
         self.begin.append(begin)
         self.end.append(end)
         self.children.append(np.zeros(0, np.int64))
@@ -60,27 +69,44 @@ class Tree:
         # the node's own centre comes first: levels are nested
         own = self.order[begin:end]
         own = np.concatenate(([self.centre[node]], own[own != self.centre[node]]))
-        rest, at, made, groups = own, begin, [], []
-        least = 1 - radius * radius / 2
-        while len(rest):
-            near = self.points[rest] @ self.points[rest[0]] >= least
-            near[0] = True
-            groups.append(rest[near])
-            rest = rest[~near]
-        for group in groups:
-            self.order[at:at + len(group)] = group
-            made.append(self._add(int(group[0]), at, at + len(group)))
-            at += len(group)
+        points, least = self.points[own], 1 - radius * radius / 2
+        head = np.full(len(own), -1)
+        for k in range(0, len(own), 256):
+            near = points[k:k + 256] @ points.T >= least
+            for i in np.flatnonzero(head[k:k + 256] < 0):
+                if head[k + i] < 0:
+                    near[i, k + i] = True
+                    head[near[i] & (head < 0)] = k + i
+        ranked = np.argsort(head, kind="stable")
+        self.order[begin:end] = own[ranked]
+        cuts = np.concatenate(([0], np.flatnonzero(np.diff(head[ranked])) + 1, [len(own)]))
+        made = [self._add(int(own[head[ranked[i]]]), begin + int(i), begin + int(j))
+                for i, j in zip(cuts[:-1], cuts[1:])]
         self.children[node] = np.array(made)
         return made
 
+    def pack(self) -> bytes:
+        """All but the points."""
+        return pickle.dumps((self.order, self.centre, self.radius, self.begin, self.end,
+                             self.children))
+
+    @classmethod
+    def unpack(cls, points: np.ndarray, packed: bytes) -> Tree:
+        tree = cls.__new__(cls)
+        tree.points = points
+        (tree.order, tree.centre, tree.radius, tree.begin, tree.end,
+         tree.children) = pickle.loads(packed)
+        tree._finish()
+        return tree
+
 
 def dual(x: Tree, y: Tree, w_x: np.ndarray, w_y: np.ndarray, least: float):
     """Links between the points of two trees with cosine ``least`` or more.
 
     Node pairs further apart than the threshold distance and both covering radii
     are pruned; node pairs as close, radii included, are linked whole; other pairs
-    are split. ``y`` is ``x``: all pairs within the tree, once. Returns the weight
+    are split, or compared in full where bounds prune less than 19 in 20 of the
+    pairs of their children, as among random directions. ``y`` is ``x``: all pairs within the tree, once. Returns the weight
     linked to each point on both sides, and links that span the same components.
     """
     same = x is y
@@ -109,23 +135,31 @@ def dual(x: Tree, y: Tree, w_x: np.ndarray, w_y: np.ndarray, least: float):
         rows = max(1, TILE // len(q))
         for k in range(0, len(p), rows):
             part = p[k:k + rows]
-            cos = x.points[part] @ y.points[q].T
-            hit = cos >= least
-            for i, j in zip(*np.nonzero(np.abs(cos - least) < SLACK)):  # summed the plain way
-                hit[i, j] = float(np.sum(x.points[part[i]] * y.points[q[j]])) >= least
+            cos = x.rough[part] @ y.rough[q].T
+            i, j = np.nonzero(cos >= least - SLACK)
             if own:
-                hit &= part[:, None] != q[None, :]
-            else:
-                n_y[q] += w_x[part] @ hit
-            n_x[part] += hit @ w_y[q]
-            for i in np.flatnonzero(hit.any(1)):
-                span(int(part[i]), int(q[hit[i].argmax()]))
-            for j in np.flatnonzero(hit.any(0)):
-                span(int(part[hit[:, j].argmax()]), int(q[j]))
-            top = np.array([root(int(v)) for v in part])
-            side = np.array([root(shift + int(v)) for v in q])
-            for i, j in zip(*np.nonzero(hit & (top[:, None] != side[None, :]))):
-                span(int(part[i]), int(q[j]))
+                i, j = i[part[i] != q[j]], j[part[i] != q[j]]
+            near = np.flatnonzero(cos[i, j] < least + SLACK)  # these are summed the plain way
+            if len(near):
+                sums = (x.points[part[i[near]]] * y.points[q[j[near]]]).sum(1)
+                gone = near[sums < least]
+                i, j = np.delete(i, gone), np.delete(j, gone)
+            if not len(i):
+                continue
+            us, vs = part[i], q[j]
+            n_x[:] += np.bincount(us, w_y[vs], len(n_x)).astype(np.int64)
+            if not own:
+                n_y[:] += np.bincount(vs, w_x[us], len(n_y)).astype(np.int64)
+            # one hit of every point joins most of them; the rest is looked up
+            for k in {*np.unique(us, return_index=True)[1].tolist(),
+                      *np.unique(vs, return_index=True)[1].tolist()}:
+                span(int(us[k]), int(vs[k]))
+            top, place = np.unique(us, return_inverse=True)
+            low, spot = np.unique(vs, return_inverse=True)
+            roots = np.array([root(int(v)) for v in top])[place]
+            others = np.array([root(shift + int(v)) for v in low])[spot]
+            for k in np.flatnonzero(roots != others).tolist():
+                span(int(us[k]), int(vs[k]))
 
     def whole(p: np.ndarray, q: np.ndarray, own: bool) -> None:
         if own:
@@ -154,17 +188,22 @@ def dual(x: Tree, y: Tree, w_x: np.ndarray, w_y: np.ndarray, least: float):
             continue
         kids_x = kids_x if len(kids_x) else np.array([a])
         kids_y = kids_y if len(kids_y) else np.array([b])
+        kept = []
         for k in range(0, len(kids_x), 1024):
             part = kids_x[k:k + 1024]
             # squared distance of unit vectors: 2 - 2 cos
             bound = reach + SLACK + x.radii[part][:, None] + y.radii[kids_y][None, :]
-            keep = 2 - 2 * (x.centres[part] @ y.centres[kids_y].T) <= bound * bound
+            keep = x.rough_centres[part] @ y.rough_centres[kids_y].T >= 1 - bound * bound / 2 - SLACK
             if own:
                 keep &= part[:, None] <= kids_y[None, :]
-            for i, j in zip(*np.nonzero(keep)):
-                u, v = int(part[i]), int(kids_y[j])
-                if not (same and u == v and x.sizes[u] == 1):
-                    todo.append((u, v))
+            i, j = np.nonzero(keep)
+            kept.append((part[i], kids_y[j]))
+        us, vs = (np.concatenate([k[n] for k in kept]) for n in range(2))
+        if len(us) * FEW > len(kids_x) * len(kids_y):
+            compare(p, q, own)  # the bounds tell next to nothing here
+            continue
+        todo += [(u, v) for u, v in zip(us.tolist(), vs.tolist())
+                 if not (same and u == v and x.sizes[u] == 1)]
     return n_x, n_y, edges
 
 
@@ -179,8 +218,9 @@ def _traverse(least: float):
         for batch in batches:
             for k in range(batch.num_rows):
                 r = {n: batch.column(n)[k].as_py() for n in batch.schema.names}
-                x = Tree(_points(r["vectors_x"], r["dim"]))
-                y = x if r["x"] == r["y"] else Tree(_points(r["vectors_y"], r["dim"]))
+                x = Tree.unpack(_points(r["vectors_x"], r["dim"]), r["tree_x"])
+                y = x if r["x"] == r["y"] else Tree.unpack(
+                    _points(r["vectors_y"], r["dim"]), r["tree_y"])
                 ids_x, ids_y, w_x, w_y = (np.frombuffer(r[n], np.int64) for n in (
                     "nodes_x", "nodes_y", "copies_x", "copies_y"))
                 n_x, n_y, edges = dual(x, y, w_x, w_y, least)
@@ -225,7 +265,7 @@ def _centres(sample: list[list[float]], count: int) -> dict[int, np.ndarray]:
 
 
 def _pack(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One row per block: its vectors, nodes and copies as bytes, a centre and its radius."""
+    """One row per block: vectors, nodes, copies and cover tree as bytes, a centre, its radius."""
     pdf = pdf.sort_values("node")
     points = np.stack(pdf["vector"].to_numpy()).astype(float)
     units = _points(points.tobytes(), points.shape[1])
@@ -234,7 +274,7 @@ def _pack(pdf: pd.DataFrame) -> pd.DataFrame:
         "block": [pdf["block"].iloc[0]], "dim": [points.shape[1]], "centre": [centre.tolist()],
         "radius": [float(np.sqrt(((units - centre) ** 2).sum(1).max()))],
         "vectors": [points.tobytes()], "nodes": [pdf["node"].to_numpy(np.int64).tobytes()],
-        "copies": [pdf["copies"].to_numpy(np.int64).tobytes()]})
+        "copies": [pdf["copies"].to_numpy(np.int64).tobytes()], "tree": [Tree(units).pack()]})
 
 
 def similar_vectors(rows: DataFrame, least: float = 0.9) -> DataFrame:
@@ -243,8 +283,8 @@ def similar_vectors(rows: DataFrame, least: float = 0.9) -> DataFrame:
     Equal vectors are one node with a weight. Nodes are dealt to the nearest of some
     centres, chosen from a sample of at most 4096 vectors: the top of the cover
     tree. A cell of more than its share of nodes is cut into blocks of at most 4 MB,
-    so a hot direction is many blocks. Every pair of blocks is one row that builds both
-    cover trees and walks them together. In high dimensions, where random vectors
+    so a hot direction is many blocks. Every block builds its cover tree; every pair
+    of blocks is one row that walks both trees together. In high dimensions, where random vectors
     are all equally far apart, no bound prunes pairs of far blocks and the work
     grows with the square of the number of different vectors.
 
@@ -285,7 +325,7 @@ def similar_vectors(rows: DataFrame, least: float = 0.9) -> DataFrame:
     packed = materialize(
         cut.select("block", "node", "copies", "vector").groupBy("block").applyInPandas(
             _pack, "block long, dim int, centre array<double>, radius double, vectors binary, "
-            "nodes binary, copies binary"),
+            "nodes binary, copies binary, tree binary"),
         "blocks")
 
     # pairs of blocks of the same dimension that the bound of their roots does not prune
@@ -298,7 +338,7 @@ def similar_vectors(rows: DataFrame, least: float = 0.9) -> DataFrame:
         F.sqrt(gap) <= F.col("r_x") + F.col("r_y") + reach).select("x", "y", "dim")
     side = lambda k: packed.select(*[
         F.col(c).alias(k if c == "block" else f"{c}_{k}")
-        for c in ("block", "vectors", "nodes", "copies")])
+        for c in ("block", "vectors", "nodes", "copies", "tree")])
     loaded = (pairs.repartition(max(LEAST_BLOCKS, count * count // 8), "x", "y")
               .join(side("x"), "x").join(side("y"), "y"))
     met = materialize(loaded.mapInArrow(

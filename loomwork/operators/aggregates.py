@@ -73,15 +73,12 @@ def top_per_group(df: DataFrame, group: str, value: str, tie: str,
                   keep: Sequence[str] = ()) -> DataFrame:
     """The row with the largest value of each group; ties go to the smallest ``tie``.
 
-    An aggregate: every task keeps one candidate per group before the shuffle.
-    ``value`` must be numeric. Null values never win over non-null ones.
+    ``value`` may have any type that Spark orders; NaN is the largest number and a
+    null value never wins over another. Every task keeps one candidate per group
+    before the shuffle.
     """
     cols = [c for c in dict.fromkeys([tie, value, *keep]) if c != group]
-    best = F.min(F.struct(
-        F.col(value).isNull().alias("no_value"), (-F.col(value)).alias("neg"),
-        F.col(tie).alias("tie_key"), F.struct(*cols).alias("row"),
-    )).alias("best")
-    return df.groupBy(group).agg(best).select(group, *[F.col(f"best.row.{c}") for c in cols])
+    return top_per_group_window(df.select(group, *cols), group, value, tie)
 
 
 def top_per_group_window(df: DataFrame, group: str, value: str, tie: str) -> DataFrame:

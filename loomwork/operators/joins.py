@@ -9,34 +9,32 @@ from pyspark.sql import functions as F
 
 from loomwork.functions import sha256_hex
 
-BROADCAST_ROWS = 100_000
+def _names(names: DataFrame, column: str, max_rows: int | None) -> DataFrame:
+    keys = names.toDF(column)
+    if max_rows is None:
+        return keys
+    return F.broadcast(keys) if keys.limit(max_rows + 1).count() <= max_rows else keys
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark ``df`` for broadcast only once it is known to have few rows.
+def list_semi(df: DataFrame, names: DataFrame, column: str,
+              max_rows: int | None = None) -> DataFrame:
+    """Rows whose ``column`` occurs in the one-column table ``names``.
 
-    The check reads at most ``max_rows + 1`` rows. A larger table is returned
-    unmarked, and the join then shuffles as usual.
+    Whether ``names`` is broadcast is left to its size in bytes: Spark's own
+    threshold, or the adaptive plan once the size is known. A caller who knows that
+    its rows are short may name ``max_rows`` up to which it is marked for broadcast,
+    which counts them first.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
-def list_semi(df: DataFrame, names: DataFrame, column: str,
-              max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Rows whose ``column`` occurs in the one-column table ``names``."""
-    keys = names.toDF(column)
-    return df.join(broadcast_if_small(keys, max_rows), column, "left_semi")
+    return df.join(_names(names, column, max_rows), column, "left_semi")
 
 
 def list_anti(df: DataFrame, names: DataFrame, column: str,
-              max_rows: int = BROADCAST_ROWS) -> DataFrame:
+              max_rows: int | None = None) -> DataFrame:
     """Rows whose ``column`` does not occur in ``names``; null rows are kept."""
-    keys = names.toDF(column)
-    return df.join(broadcast_if_small(keys, max_rows), column, "left_anti")
+    return df.join(_names(names, column, max_rows), column, "left_anti")
 
 
-def summarize_others(df: DataFrame, key: str, value: str,
-                     max_rows: int = BROADCAST_ROWS) -> DataFrame:
+def summarize_others(df: DataFrame, key: str, value: str) -> DataFrame:
     """For every key, an aggregate over the rows of all *other* keys.
 
     This is the self join on ``a.key <> b.key`` followed by a group-by on

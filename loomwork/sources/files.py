@@ -21,6 +21,7 @@ class CsvDialect:
     ``skip_differing`` drops lines with too few or too many fields.
     ``strict_quotes`` keeps only what stands inside quotes: fields that are not
     quoted as a whole read as null.
+    ``multi_line`` reads line breaks inside quotes as text; a file is then one task.
     """
 
     sep: str = ";"
@@ -32,6 +33,7 @@ class CsvDialect:
     empty_is_null: bool = True
     encoding: str = "UTF-8"
     skip_differing: bool = False
+    multi_line: bool = False
 
     def options(self) -> dict[str, str]:
         return {
@@ -40,6 +42,7 @@ class CsvDialect:
             "ignoreLeadingWhiteSpace": str(self.ignore_leading_blanks).lower(),
             "nullValue": NEVER if self.empty_is_null else "",
             "emptyValue": "",
+            "multiLine": str(self.multi_line).lower(),
             "mode": "DROPMALFORMED" if self.skip_differing else "PERMISSIVE",
         }
 
@@ -72,18 +75,17 @@ def _strict_quoted(spark: SparkSession, path: str, schema: StructType | str | No
     schema = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
     q, e, s = (_rx(c) for c in (dialect.quote, dialect.escape, dialect.sep))
     field = rf"\s*{q}((?:[^{q}{e}]|{e}.)*){q}\s*|([^{s}]*)"
-    lines = spark.read.option("encoding", dialect.encoding).text(path)
-    if dialect.header:
-        names = dialect.sep.join(schema.fieldNames())
-        bare = F.regexp_replace("value", rf"[{q}\s]", "")
-        lines = lines.where(bare != F.lit(names))
+    # whole lines, the first one of each file left out if it is the header
+    lines = spark.read.options(
+        sep="\u0001", quote="", escape="", encoding=dialect.encoding,
+        header=str(dialect.header).lower()).schema("value string").csv(path)
     quoted = F.regexp_extract_all("value", F.lit(rf"(?:^|{s})(?:{field})"), F.lit(1))
     cells = F.transform(quoted, lambda c: F.when(c != "", F.regexp_replace(c, rf"{e}(.)", "$1")))
     rows = lines.select(cells.alias("cells"))
     if dialect.skip_differing:
         rows = rows.where(F.size("cells") == len(schema))
     return rows.select(*[
-        F.get("cells", F.lit(i)).cast(f.dataType).alias(f.name) for i, f in enumerate(schema)])
+        F.get("cells", F.lit(i)).try_cast(f.dataType).alias(f.name) for i, f in enumerate(schema)])
 
 
 def _rx(char: str) -> str:

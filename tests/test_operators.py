@@ -186,3 +186,18 @@ def test_actions(spark, capsys, tmp_path):
     assert [len(d.columns) for d in projections.single_columns(df)] == [1]
     name = fn.register_twice_plus_half(spark)
     assert spark.sql(f"SELECT {name}(3) AS x").first()["x"] == 6.5
+
+
+def test_top_rows_of_any_type(spark):
+    import datetime as dt
+
+    cases = [("double", [float("nan"), 5.0, None], float("nan")),
+             ("bigint", [-(1 << 63), None, -(1 << 63) + 1], -(1 << 63) + 1),
+             ("date", [dt.date(2020, 1, 1), dt.date(2021, 1, 1), None], dt.date(2021, 1, 1)),
+             ("string", ["a", "b", None], "b")]
+    for kind, values, best in cases:
+        df = spark.createDataFrame([("g", v, i) for i, v in enumerate(values)],
+                                   f"k string, v {kind}, t int")
+        for top in (aggregates.top_per_group, aggregates.top_per_group_window):
+            got = top(df, "k", "v", "t").select("v").first()[0]
+            assert got == best or (got != got and best != best)

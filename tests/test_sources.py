@@ -96,3 +96,20 @@ def test_tree_learns(spark):
     assert run.accuracy() == 1.0 and run.test_error() == 0.0
     assert "DecisionTreeClassificationModel" in run.tree_text
     assert {"prediction", "label", "features", "indexedFeatures"} <= set(run.predictions.columns)
+
+
+def test_quoted_line_break(spark, tmp_path):
+    path = tmp_path / "breaks.csv"
+    path.write_text('a;b;c\n1;"x\ny";z\n2;p;q\n')
+    df = files.read_csv(spark, str(path), "a int, b string, c string",
+                        files.CsvDialect(multi_line=True))
+    assert [tuple(r) for r in df.orderBy("a").collect()] == [(1, "x\ny", "z"), (2, "p", "q")]
+
+
+def test_strict_header_by_position_and_bad_cells(spark, tmp_path):
+    path = tmp_path / "strict.csv"
+    path.write_text('"ID";"name"\n"1";"id"\n"x";"name"\n"id";"name"\n')
+    df = files.read_csv(spark, str(path), "id int, name string",
+                        files.CsvDialect(strict_quotes=True))
+    rows = sorted((tuple(r) for r in df.collect()), key=str)
+    assert rows == [(1, "id"), (None, "name"), (None, "name")]

@@ -26,10 +26,11 @@ _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread all bits of 64-bit numbers; one-to-one."""
     x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -63,15 +64,29 @@ def chunks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         first = last
 
 
+def _edges(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which bytes belong to words, and where rows begin (one more than bytes)."""
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offsets] = True
+    return ~_IS_SPACE[data], edge
+
+
+def _starts(inside: np.ndarray, edge: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(inside & (edge[:-1] | ~np.concatenate(([False], inside[:-1]))))
+
+
+def word_counts(offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """Words of every row."""
+    return np.diff(np.searchsorted(_starts(*_edges(offsets, data)), offsets))
+
+
 def word_hashes(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every word, A-Z lower-cased, and where each row's words begin (rows + 1)."""
     rows = len(offsets) - 1
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(rows + 1, np.int64)
-    inside = ~_IS_SPACE[data]
-    edge = np.zeros(len(data) + 1, bool)
-    edge[offsets] = True
-    starts = np.flatnonzero(inside & (edge[:-1] | ~np.concatenate(([False], inside[:-1]))))
+    inside, edge = _edges(offsets, data)
+    starts = _starts(inside, edge)
     ends = np.flatnonzero(inside & (edge[1:] | ~np.concatenate((inside[1:], [False])))) + 1
     up, down = powers(len(data))
     sums = np.zeros(len(data) + 1, np.uint64)
@@ -87,6 +102,15 @@ def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
         return words
     width_used = min(width, n)
     out = np.full(n - width_used + 1, width_used, np.uint64)
+    factors = mix(np.arange(1, width_used + 1, dtype=np.uint64)) | np.uint64(1)
     for i in range(width_used):
-        out = mix(out + words[i:i + len(out)])
-    return out
+        out += words[i:i + len(out)] * factors[i]
+    return mix(out)
+
+
+def row_shingles(words: np.ndarray, at: np.ndarray, width: int) -> Iterator[np.ndarray]:
+    """The shingle hashes of every row whose words begin at ``at`` (rows + 1)."""
+    every = shingle_hashes(words, width)
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+        yield (every[a:b - width + 1] if b - a >= width
+               else shingle_hashes(words[a:b], width))

@@ -44,8 +44,12 @@ def summarize_others(df: DataFrame, key: str, value: str) -> DataFrame:
     partial sums combine before the shuffle, so a key holding a third of the
     rows costs no more than any other. Keys that occur alone give no row.
 
-    ``value`` must be a numeric column without NaN.
+    ``value`` must be an integer or decimal column: taking one's own part off a
+    total of floating numbers cancels, so these are refused. Cast them to a
+    decimal of the scale that counts.
     """
+    if df.schema[value].dataType.typeName() in ("double", "float"):
+        raise TypeError(f"{value}: cast floating numbers to a decimal first")
     per_key = df.where(F.col(key).isNotNull()).groupBy(key).agg(
         F.count(F.lit(1)).alias("own_rows"),
         F.count(value).alias("own_values"),

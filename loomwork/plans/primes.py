@@ -35,13 +35,25 @@ def equal_segments(requests: DataFrame, parts: int, request: str = "request",
 
 def fixed_segments(requests: DataFrame, size: int = SEGMENT, request: str = "request",
                    start: str = "range_start", end: str = "range_end") -> DataFrame:
-    """Each range cut into segments of ``size`` numbers, the last one shorter."""
+    """Each range cut into segments of ``size`` numbers, the last one shorter.
+
+    In two levels, so that no row or task holds a whole range: as many blocks as a
+    block has segments, dealt out, then the segments of each block.
+    """
     lo, hi = F.col(start).cast("long"), F.col(end).cast("long")
-    last = F.floor((hi - lo) / F.lit(size)).cast("long")
-    return (
+    tasks = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    zero, width, last = F.lit(0).cast("long"), F.col("__w"), F.col("__last")
+    blocks = (
         requests.where(lo <= hi)
         .select(request, lo.alias("__s"), hi.alias("__e"),
-                F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("segment"))
+                F.call_function("div", hi - lo, F.lit(size).cast("long")).alias("__last"))
+        .withColumn("__w", F.ceil(F.sqrt(last + 1)).cast("long"))
+        .withColumn("__first", F.explode(F.sequence(zero, last, width)))
+        .repartition(tasks, request, "__first")
+    )
+    return (
+        blocks.withColumn("segment", F.explode(F.sequence(
+            "__first", F.least(F.col("__first") + width - 1, last))))
         .select(request, "segment",
                 (F.col("__s") + F.col("segment") * size).alias("lo"),
                 F.least(F.col("__e"), F.col("__s") + (F.col("segment") + 1) * size - 1)

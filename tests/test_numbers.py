@@ -72,6 +72,14 @@ def test_segments(spark):
         (0, 0, 3), (0, 4, 7), (0, 8, 10), (2, 7, 8)]
 
 
+def test_very_long_range(spark):
+    some = primes.fixed_segments(requests(spark, (1, 10 ** 15))).limit(3).collect()
+    assert all(r["lo"] == 1 + r["segment"] * primes.SEGMENT for r in some) and len(some) == 3
+    many = primes.fixed_segments(requests(spark, (3, 10_000)), 7)
+    got = many.agg(F.count("*").alias("n"), F.sum(F.col("hi") - F.col("lo") + 1).alias("s")).first()
+    assert (got["n"], got["s"]) == (1429, 9998)
+
+
 def test_range_source(spark):
     assert inline.number_range(spark, 3, 5).count() == 3
     assert inline.number_range(spark, 5, 3).count() == 0

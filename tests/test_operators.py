@@ -61,6 +61,15 @@ def test_others(spark):
     assert joins.summarize_others(one, "k", "v").count() == 0
 
 
+def test_others_refuse_floating_numbers(spark):
+    df = spark.createDataFrame([("a", 1e17), ("b", 1.0), ("b", 2.0)], "k string, v double")
+    with pytest.raises(TypeError):
+        joins.summarize_others(df, "k", "v")
+    cents = df.withColumn("v", F.col("v").cast("decimal(28,2)"))
+    got = {r["k"]: r["other_sum"] for r in joins.summarize_others(cents, "k", "v").collect()}
+    assert got == {"a": 3, "b": 10 ** 17}
+
+
 def test_top_of_group(spark):
     df = spark.createDataFrame(
         [("x", "b", 2.0), ("x", "a", 2.0), ("x", "c", None), ("y", "d", None)],

@@ -37,11 +37,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest ``doc_id`` of every group of similar ones."""
-    found = jaccard.similar_documents(docs, WIDTH, NUM, DEN)
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(first, docs["doc_id"].eqNullSafe(first["_kept"]), "left_semi")
+    """Keep the row with the smallest ``doc_id`` of every group of similar ones."""
+    return jaccard.one_per_group(docs, WIDTH, NUM, DEN)
 
 
 def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

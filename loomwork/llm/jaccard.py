@@ -19,6 +19,25 @@ TURNS = 6  # with other hubs, at most, before all pairs that are left
 WORTH = 20  # a turn that links less than one in so many of its pairs is the last
 PARTS = 1024  # of the hash space, for the suffix filter: one bit each
 _TOKEN_SHIFT = np.uint64(9)
+ROW = ["doc_id", "th", "th2"]  # what tells rows apart: the identifier and the text's hashes
+_ROW = "doc_id long, th long, th2 long"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.withColumns({"th": F.xxhash64("text"),
+                             "th2": F.xxhash64(F.lit(7), "text", F.lit(7))})
+
+
+def _same_row(x: str, y: str) -> F.Column:
+    """Columns ``ROW`` of both sides are equal, null identifiers too."""
+    same = F.col(f"{x}.doc_id").eqNullSafe(F.col(f"{y}.doc_id"))
+    return same & (F.col(f"{x}.th") == F.col(f"{y}.th")) & (F.col(f"{x}.th2") == F.col(f"{y}.th2"))
+
+
+def _once(rows: DataFrame, *key: str) -> DataFrame:
+    """One row per ``key``, of rows with ``copies``; only repeated ones are shuffled."""
+    again = rows.where("copies > 1")
+    return rows.where("copies = 1").unionByName(again.dropDuplicates(list(key))).drop("copies")
 
 
 def _sets(batch: pa.RecordBatch, width: int) -> Iterator[np.ndarray]:
@@ -41,7 +60,7 @@ def _signed(x: int) -> int:
 def _signatures(width: int):
     """Per row its set's size and signature; per task the counts of all its shingles."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n", "sig1", "sig2", "block", "counts"]
+        names = [*ROW, "n", "sig1", "sig2", "block", "counts"]
         seen = np.zeros(COUNTERS, np.uint32)
         for batch in batches:
             n, one, two, pending, held = [], [], [], [], 0
@@ -61,13 +80,13 @@ def _signatures(width: int):
                                     minlength=COUNTERS).astype(np.uint32)
             rows = len(n)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(one, pa.int64()),
+                [*map(batch.column, ROW), pa.array(n, pa.int64()), pa.array(one, pa.int64()),
                  pa.array(two, pa.int64()), pa.nulls(rows, pa.int32()),
                  pa.nulls(rows, pa.binary())], names)
         blocks = [i for i in range(COUNTERS // BLOCK) if seen[i * BLOCK:(i + 1) * BLOCK].any()]
         rows = len(blocks)
         yield pa.RecordBatch.from_arrays(
-            [pa.nulls(rows, pa.int64()), *(pa.nulls(rows, pa.int64()) for _ in range(3)),
+            [*(pa.nulls(rows, pa.int64()) for _ in range(len(ROW) + 3)),
              pa.array(blocks, pa.int32()),
              pa.array([seen[i * BLOCK:(i + 1) * BLOCK].tobytes() for i in blocks], pa.binary())],
             names)
@@ -113,10 +132,10 @@ def _prefixes(shared, width: int, num: int, den: int):
             ends = np.cumsum([0] + [len(t) for t in tokens]).astype(np.int32)
             flat = np.concatenate(tokens) if tokens else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(one, pa.int64()),
+                [*map(batch.column, ROW), pa.array(n, pa.int64()), pa.array(one, pa.int64()),
                  pa.array(two, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
                  pa.array([p.tolist() for p in parts], pa.list_(pa.int64()))],
-                ["doc_id", "n", "sig1", "sig2", "tokens", "parts"])
+                [*ROW, "n", "sig1", "sig2", "tokens", "parts"])
     return run
 
 
@@ -227,39 +246,19 @@ def _crossing(mixed: DataFrame, meta: DataFrame, num: int, den: int) -> DataFram
     return firsts.where(bound * (num + den) >= (F.col("n_a") + F.col("n_b")) * num).select("a", "b")
 
 
-def similar_documents(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """Classes of documents whose sets of word n-grams are similar, exactly.
-
-    A set is the distinct ``width``-word shingles of a text (words are runs of
-    characters other than ASCII spaces, A-Z lower-cased); a shorter text is one
-    shingle. Two documents link if the Jaccard similarity is ``num / den`` or more.
-
-    1. Every set gets a 128-bit signature; equal sets are one node from here on. The
-       same pass counts all shingles into a fixed number of counters.
-    2. Every node lists the rarest tokens of its set, as many as similar sets cannot
-       miss one another in; rarity is the counter's, ties go by hash.
-    3. Tokens of more than one node pair each node with the token's first node: no
-       more pairs than postings. Pairs pass the length and suffix filters and are
-       verified on the whole texts.
-    4. Where a token's nodes are in different components still, some turns with other
-       hubs join most of them. What is left apart and shares a token is paired in
-       full, under the length, positional and suffix filters, and verified once per pair.
-
-    Only links inside a component that is known already are left out, so the classes
-    are exact. ``docs`` needs ``doc_id, text``; other columns are ignored. Returns a
-    row per row: ``doc_id, n_shingles, component_id`` (the smallest ``doc_id``
-    reachable, itself included). Null texts and texts without words have an empty
-    set and link with nothing; null identifiers are passed over unless a class has
-    no other; rows that repeat an identifier stay; no rows give no rows.
-    """
+def _grouped(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """Per row ``ROW``, ``n`` and ``head``, the first row of its group: ``none, *ROW, copies``."""
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
+    docs = _keyed(docs.select("doc_id", "text"))
     first = materialize(docs.mapInArrow(
-        _signatures(width), "doc_id long, n long, sig1 long, sig2 long, block int, counts binary"),
+        _signatures(width), f"{_ROW}, n long, sig1 long, sig2 long, block int, counts binary"),
         "signatures")
-    rows = first.where("block IS NULL").select("doc_id", "n", "sig1", "sig2")
+    rows = first.where("block IS NULL").select(*ROW, "n", "sig1", "sig2")
+    key = ["n", "sig1", "sig2"]
+    row = F.struct(F.col("doc_id").isNull().alias("none"), *ROW, "copies")
     classes = materialize(
-        rows.where("n > 0").groupBy("n", "sig1", "sig2").agg(F.min("doc_id").alias("low"))
+        rows.where("n > 0").groupBy(*key, *ROW).agg(F.count("*").alias("copies"))
+        .groupBy(*key).agg(F.min(row).alias("head"))
         .withColumn("node", F.monotonically_increasing_id()), "classes")
 
     table = np.zeros(COUNTERS, np.uint8)  # fixed size, whatever the input
@@ -269,21 +268,22 @@ def similar_documents(docs: DataFrame, width: int = 5, num: int = 80, den: int =
         table[r["block"] * BLOCK:(r["block"] + 1) * BLOCK] = np.frombuffer(r["levels"], np.uint8)
     shared = spark.sparkContext.broadcast(table.tobytes())
 
-    key = ["n", "sig1", "sig2"]
     listed = docs.mapInArrow(
         _prefixes(shared, width, num, den),
-        "doc_id long, n long, sig1 long, sig2 long, tokens array<long>, parts array<long>")
-    listed = listed.where("n > 0").alias("l").join(classes.alias("c"), key).where(
-        F.col("l.doc_id").eqNullSafe(F.col("c.low")))
-    nodes = materialize(listed.select("node", "low", "n", "tokens", "parts"), "prefixes")
+        f"{_ROW}, n long, sig1 long, sig2 long, tokens array<long>, parts array<long>")
+    listed = listed.where("n > 0").alias("l").join(
+        classes.alias("c"), key).where(_same_row("l", "c.head"))
+    nodes = materialize(_once(listed.select(
+        "node", "n", "tokens", "parts", F.col("head.copies").alias("copies")), "node"), "prefixes")
 
     posted = nodes.select("node", "n", F.posexplode("tokens").alias("at", "token"))
     common = posted.groupBy("token").agg(F.min("node").alias("hub"), F.max("node").alias("top"))
     postings = materialize(
         posted.join(common.where("hub <> top").select("token", "hub"), "token"), "postings")
-    needed = postings.select("node").distinct().join(nodes.select("node", "low"), "node")
-    texts = materialize(
-        docs.join(needed, F.col("doc_id").eqNullSafe(F.col("low"))).select("node", "text"), "texts")
+    needed = postings.select("node").distinct().join(classes.select("node", "head.*"), "node")
+    texts = materialize(_once(
+        docs.alias("d").join(needed.alias("c"), _same_row("d", "c"))
+        .select("node", "text", "copies"), "node"), "texts")
 
     join = _Join(nodes, texts, width, num, den)
     met = materialize(postings.where("node <> hub").select(
@@ -306,10 +306,59 @@ def similar_documents(docs: DataFrame, width: int = 5, num: int = 80, den: int =
     comps = components(links, "a", "b")
     member = classes.join(comps, "node", "left").withColumn(
         "comp", F.coalesce("component", "node"))
-    least = member.groupBy("comp").agg(F.min("low").alias("component_id"))
-    named = member.join(least, "comp").select(*key, "component_id")
-    full = rows.where("n > 0").join(named, key).select(
-        "doc_id", F.col("n").alias("n_shingles"), "component_id")
-    empty = rows.where("n = 0").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return full.unionByName(empty)
+    least = member.groupBy("comp").agg(F.min("head").alias("least"))
+    named = member.join(least, "comp").select(*key, F.col("least").alias("head"))
+    full = rows.where("n > 0").join(named, key).select(*ROW, "n", "head")
+    alone = rows.where("n = 0").withColumn("copies", F.lit(1).cast("long"))
+    return full.unionByName(alone.select(*ROW, "n", row.alias("head")))
+
+def similar_documents(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """Classes of documents whose sets of word n-grams are similar, exactly.
+
+    A set is the distinct ``width``-word shingles of a text (words are runs of
+    characters other than ASCII spaces, A-Z lower-cased); a shorter text is one
+    shingle. Two documents link if the Jaccard similarity is ``num / den`` or more.
+
+    1. Every set gets a 128-bit signature; equal sets are one node from here on. The
+       same pass counts all shingles into a fixed number of counters.
+    2. Every node lists the rarest tokens of its set, as many as similar sets cannot
+       miss one another in; rarity is the counter's, ties go by hash.
+    3. Tokens of more than one node pair each node with the token's first node: no
+       more pairs than postings. Pairs pass the length and suffix filters and are
+       verified on the whole texts.
+    4. Where a token's nodes are in different components still, some turns with other
+       hubs join most of them. What is left apart and shares a token is paired in
+       full, under the length, positional and suffix filters, and verified once per pair.
+
+    Only links inside a component that is known already are left out, so the classes
+    are exact. ``docs`` needs ``doc_id, text``; other columns are ignored. Returns a
+    row per row: ``doc_id, n_shingles, component_id`` (the smallest ``doc_id``
+    reachable, itself included). Null texts and texts without words have an empty
+    set and link with nothing; null identifiers are passed over unless a class has
+    no other; rows that repeat an identifier stay; no rows give no rows.
+    """
+    return _grouped(docs, width, num, den).select(
+        "doc_id", F.col("n").alias("n_shingles"), F.col("head.doc_id").alias("component_id"))
+
+
+def one_per_group(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of ``docs`` that are the first of their group, exactly one for each.
+
+    Groups are those of ``similar_documents``. First is the smallest ``doc_id`` (null
+    last), then the smallest hash of the text; of rows that repeat both any one stays.
+    Rows without words are groups of their own and stay.
+    """
+    found = _grouped(docs, width, num, den)
+    alone = found.where("n = 0").select(*ROW, F.lit(1).cast("long").alias("copies")).distinct()
+    heads = materialize(found.where("n > 0").select(
+        *[f"head.{c}" for c in ROW], "head.copies").distinct().unionByName(alone), "heads")
+    key = "_key"
+    while key in docs.columns:
+        key += "_"
+    every = docs.withColumn(key, F.struct(
+        "doc_id", F.xxhash64("text").alias("th"),
+        F.xxhash64(F.lit(7), "text", F.lit(7)).alias("th2")))
+    kept = every.alias("d").join(heads.alias("h"), _same_row(f"d.{key}", "h"))
+    once = kept.where("h.copies = 1").select("d.*")
+    again = kept.where("h.copies > 1").select("d.*").dropDuplicates([key])
+    return once.unionByName(again).drop(key)

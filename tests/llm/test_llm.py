@@ -211,6 +211,29 @@ def test_jaccard_edges(spark):
     assert jaccard.similar_documents(docs(spark, EDGE).limit(0)).count() == 0
 
 
+def test_jaccard_without_identifiers(spark):
+    """Rows that share an identifier, or have none, are told apart by their text."""
+    def text(k, edit=0):
+        return " ".join(f"w{k}x{i}" for i in range(100)) + " end" * edit
+    plain = [(None, text(0)), (None, text(1)), (None, text(0, 1)), (1, text(2)),
+             (None, text(2, 1)), (None, text(3)), (None, text(3)), (7, text(4)), (7, text(5)),
+             (8, text(5, 1)), (9, text(6)), (9, text(6)), (None, None), (None, ""),
+             # shares a rare shingle with texts 0 and 1, but is near to neither
+             (None, "w0x0 w0x1 w0x2 w0x3 w0x4 w1x0 w1x1 w1x2 w1x3 w1x4 " + text(8))]
+    rows = docs(spark, [(i, t, "", str(k)) for k, (i, t) in enumerate(plain)])
+    got = sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0)
+                 for r in jaccard.similar_documents(rows).collect())
+    sizes = {k: max(0, len(words(t)) - 4) for k, (_, t) in enumerate(plain)}
+    low = {3: 1, 4: 1, 7: 7, 8: 7, 9: 7, 10: 9, 11: 9}
+    assert got == sorted((i or 0, sizes[k], low.get(k, 0)) for k, (i, _) in enumerate(plain))
+    kept = jaccard.one_per_group(rows)
+    assert kept.columns == rows.columns
+    sources = [int(r.source) for r in kept.collect()]
+    of = {0: 0, 2: 0, 5: 5, 6: 5, 8: 8, 9: 8, 10: 10, 11: 10, 3: 3, 4: 3}
+    assert sorted(of.get(k, k) for k in sources) == [0, 1, 3, 5, 7, 8, 10, 12, 13, 14]
+    assert {3, 8} <= set(sources)
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(20)] + [(40, 50), (50, 60), (7, 7), (None, 3)]
     got = components.components(spark.createDataFrame(chain, "x long, y long"), "x", "y")

@@ -299,6 +299,25 @@ def test_passages_edges(spark):
     assert passages.repeated_passages(docs(spark, EDGE).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("at", [0, 25, 45])
+def test_passage_with_earlier_phrase(at):
+    """A near copy holds a phrase that the other text also has before it, alone or often."""
+    rng = np.random.default_rng(3)
+    new = lambda n: rng.integers(1, 1 << 62, n).astype(np.uint64)
+    phrase, body = new(24), new(45)
+    copy = np.concatenate((body[:at], phrase, body[at:]))
+    edited = copy.copy()
+    edited[34:37] = new(3)
+    for times in (1, 7):
+        y = np.concatenate([new(40), *[np.concatenate((phrase, new(30))) for _ in range(times)],
+                            copy, new(20)])
+        x = np.concatenate((new(9), edited, new(9)))
+        start = 40 + 54 * times
+        assert passages.matches(x, y, 46, 80, 100) == [(9, 77, start, start + 68)]
+    # the passage twice in the other text is one match
+    assert len(passages.matches(x, np.concatenate((copy, new(30), copy)), 46, 80, 100)) == 1
+
+
 def test_compact_windows():
     values = np.random.default_rng(2).integers(0, 1 << 62, 400).astype(np.uint64)
     got = set(zip(*(a.tolist() for a in passages.compact_windows(values, 20))))

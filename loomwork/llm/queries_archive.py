@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomwork.llm import warc
+from loomwork.llm import vectorcodes, warc
 from loomwork.llm.registry import query, table
 from loomwork.session import scratch_path
 
@@ -30,3 +30,48 @@ def op11_capture_index(spark, d):
     places = warc.lookup(store, pages.select(warc.url_key(F.col("url")).alias("key")))
     return warc.read_records(store, places).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def _round(n: int) -> str:
+    """Nearest entries of all parts by the codebook of round n, and the next codebook."""
+    return f"""
+near{n} AS (
+  SELECT v, p, e, d FROM (
+    SELECT v, parts.p AS p, e, sum((parts.x - b.x) * (parts.x - b.x)) AS d,
+           row_number() OVER (PARTITION BY v, parts.p ORDER BY d, e) AS nr
+    FROM parts JOIN book{n} b ON parts.p = b.p AND parts.j = b.j
+    GROUP BY v, parts.p, e) WHERE nr = 1),
+means{n} AS (
+  SELECT parts.p AS p, j, e, sum(x) AS s, count(*) AS n
+  FROM parts JOIN near{n} USING (v, p) GROUP BY parts.p, j, e),
+book{n + 1} AS (
+  SELECT b.p AS p, b.j AS j, b.e AS e,
+         CASE WHEN n IS NULL THEN b.x ELSE (s - ((s % n) + n) % n) // n END AS x
+  FROM book{n} b LEFT JOIN means{n} m ON b.p = m.p AND b.j = m.j AND b.e = m.e)"""
+
+
+OP12_SQL = f"""
+WITH kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id) - 1 AS v, vec_id, label, embedding FROM embeddings
+  WHERE len(list_filter(embedding, lambda c: NOT isfinite(c) OR c IS NULL)) = 0),
+cells AS (
+  SELECT v, len(embedding) // 16 AS w, unnest(embedding) AS c,
+         unnest(range(len(embedding))) AS i FROM kept),
+parts AS (
+  SELECT v, i // w AS p, i % w AS j, CAST(floor(CAST(c AS DOUBLE) * 256) AS HUGEINT) AS x
+  FROM cells),
+book0 AS (SELECT p, j, v AS e, x FROM parts WHERE v < 64),
+{_round(0)},{_round(1)},{_round(2)},
+coded AS (
+  SELECT v, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(d) AS error
+  FROM near2 GROUP BY v),
+book AS (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY p, e, j)) AS digest FROM book2)
+SELECT vec_id, code, CAST(error AS BIGINT) AS error,
+       CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       digest AS codebooks_sha256
+FROM kept JOIN coded USING (v), book"""
+
+
+@query(OP12_SQL)
+def op12_vector_codes(spark, d):
+    return vectorcodes.encode(table(spark, d, "embeddings"))

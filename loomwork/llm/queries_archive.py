@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomwork.llm import vectorcodes, warc
+from loomwork.llm import prefixtrie, vectorcodes, warc
 from loomwork.llm.registry import query, table
 from loomwork.session import scratch_path
 
@@ -75,3 +75,63 @@ FROM kept JOIN coded USING (v), book"""
 @query(OP12_SQL)
 def op12_vector_codes(spark, d):
     return vectorcodes.encode(table(spark, d, "embeddings"))
+
+
+# CRC-32 of the decimal id, a byte and then a bit at a time
+CRC = """xor(4294967295, list_reduce(list_prepend(4294967295,
+    [CAST(ascii(x) AS BIGINT) FOR x IN string_split(CAST(conv_id AS VARCHAR), '')]),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]),
+      lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)))"""
+
+OP13_SQL = f"""
+WITH said AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS nr
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (
+  SELECT c.conv_id AS conv_id, h % 6 AS h FROM (
+    SELECT conv_id, {CRC} AS h FROM (SELECT DISTINCT conv_id FROM conversations)
+    WHERE conv_id IS NOT NULL) c),
+turns AS (
+  SELECT conv_id, nr, role, text FROM said JOIN convs USING (conv_id) WHERE nr > h
+  UNION ALL
+  SELECT c.conv_id, nr, role, text FROM convs c
+  JOIN said s ON s.conv_id = c.conv_id - c.conv_id % 100 WHERE nr <= h),
+placed AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY nr) AS depth, text,
+         sha256(length(role) || ':' || role || text) AS item FROM turns),
+prefixes AS (
+  SELECT conv_id, depth, length(text) AS tokens, sha256(string_agg(item, '') OVER (
+    PARTITION BY conv_id ORDER BY depth)) AS node FROM placed
+  UNION ALL SELECT conv_id, 0, 0, '' FROM convs),
+chain AS (
+  SELECT *, lag(node) OVER (PARTITION BY conv_id ORDER BY depth) AS parent,
+         max(depth) OVER (PARTITION BY conv_id) AS whole FROM prefixes),
+nodes AS (
+  SELECT node, depth, any_value(parent) AS parent, any_value(tokens) AS tokens,
+         min(conv_id) AS conv_id, count(*) AS n_convs,
+         string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)
+           FILTER (depth = whole) AS ends
+  FROM chain GROUP BY node, depth),
+sons AS (SELECT parent, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY parent),
+known AS (
+  SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes
+  LEFT JOIN sons ON sons.parent = nodes.node),
+below AS (
+  SELECT a.node AS node, sum(k.share) AS saved, sum(k.leaf) AS n_leaves
+  FROM (
+    SELECT DISTINCT a.node AS node, b.node AS under FROM chain a JOIN chain b
+    ON a.conv_id = b.conv_id AND a.depth <= b.depth) a
+  JOIN (SELECT node, (n_convs - 1) * tokens AS share, CAST(n_children = 0 AS INT) AS leaf
+        FROM known) k ON k.node = a.under
+  GROUP BY a.node)
+SELECT known.conv_id AS conv_id, known.depth AS depth, p.conv_id AS parent_conv_id,
+       known.n_convs AS n_convs, known.n_children AS n_children,
+       CAST(below.n_leaves AS BIGINT) AS n_leaves, CAST(below.saved AS BIGINT) AS saved_tokens,
+       sha256(coalesce(known.ends, '')) AS ends_sha256
+FROM known JOIN below USING (node) LEFT JOIN known p ON p.node = known.parent"""
+
+
+@query(OP13_SQL)
+def op13_prefix_trie(spark, d):
+    return prefixtrie.prefix_trie(table(spark, d, "conversations"))

@@ -79,18 +79,18 @@ def attr_overlap(spark, d):
     return inclusion.attribute_overlap(tables(spark, d, SEVEN))
 
 
-def _counts_sql(name: str, max_width: int | None) -> str:
+def _counts_sql(name: str) -> str:
     cols = COLUMNS[name]
-    widths = range(1, (max_width or len(cols)) + 1)
+    widths = range(1, len(cols) + 1)
     return " UNION ALL ".join(
         f"SELECT '{','.join(c)}' AS columns, {w} AS width, "
         f"(SELECT COUNT(*) FROM (SELECT DISTINCT {', '.join(c)} FROM {name})) AS distinct_rows"
         for w in widths for c in combinations(cols, w))
 
 
-def _ucc_sql(name: str, max_width: int | None = None) -> str:
+def _ucc_sql(name: str) -> str:
     return f"""
-      WITH counts AS MATERIALIZED ({_counts_sql(name, max_width)}),
+      WITH counts AS MATERIALIZED ({_counts_sql(name)}),
            uniq AS MATERIALIZED (SELECT * FROM counts
                     WHERE distinct_rows = (SELECT COUNT(*) FROM {name}))
       SELECT columns, CAST(width AS INTEGER) AS width, distinct_rows FROM uniq u
@@ -98,33 +98,67 @@ def _ucc_sql(name: str, max_width: int | None = None) -> str:
         AND list_has_all(string_split(u.columns, ','), string_split(v.columns, ',')))"""
 
 
+def _joined(found):
+    return found.withColumn("columns", F.array_join("columns", ","))
+
+
 @query(_ucc_sql("customer"))
 def unique_combinations(spark, d):
-    return uniqueness.unique_combinations(table(spark, d, "customer"))
+    return _joined(uniqueness.unique_combinations(table(spark, d, "customer")))
 
 
 @query(_ucc_sql("orders"))
 def unique_combinations_orders(spark, d):
-    return uniqueness.unique_combinations(table(spark, d, "orders"))
-
-
-@query(_ucc_sql("lineitem", 3))
-def unique_combinations_width3(spark, d):
-    """All minimal unique sets of at most three columns."""
-    return uniqueness.unique_combinations(table(spark, d, "lineitem"), max_width=3)
+    return _joined(uniqueness.unique_combinations(table(spark, d, "orders")))
 
 
-@query()
+def _ucc_levels_sql(name: str) -> str:
+    """Level by level, each set from the one without its last column; single rows drop out."""
+    cols = COLUMNS[name]
+    bits = len(cols)
+    codes = ", ".join(f"dense_rank() OVER (ORDER BY {c} NULLS FIRST)" for c in cols)
+    names = ", ".join(f"'{c}'" for c in cols)
+    levels = [f"""
+      held0 AS (SELECT 0 AS mask, -1 AS top, 0 AS cluster, r FROM coded
+                WHERE (SELECT count(*) FROM coded) > 1)"""]
+    for k in range(1, bits + 1):
+        levels.append(f"""
+      held{k} AS MATERIALIZED (
+        SELECT mask, top, min(r) OVER w AS cluster, r FROM (
+          SELECT h.mask + (1 << i) AS mask, i AS top, h.cluster AS c, h.r AS r,
+                 codes[i + 1] AS code
+          FROM held{k - 1} h JOIN coded ON coded.r = h.r, places WHERE i > h.top)
+        WINDOW w AS (PARTITION BY mask, c, code) QUALIFY count(*) OVER w > 1)""")
+    every = " UNION ALL ".join(f"SELECT DISTINCT mask FROM held{k}" for k in range(bits + 1))
+    return f"""
+      WITH coded AS MATERIALIZED (
+             SELECT row_number() OVER () AS r, [{codes}] AS codes FROM {name}),
+           places AS (SELECT unnest(range({bits})) AS i),{','.join(levels)},
+           shared AS (SELECT mask FROM ({every})),
+           wider AS (SELECT DISTINCT mask + (1 << i) AS mask FROM shared, places
+                     WHERE mask & (1 << i) = 0),
+           minimal AS (
+             SELECT w.mask AS mask FROM wider w, places
+             LEFT JOIN shared s ON s.mask = w.mask - (1 << i)
+             WHERE w.mask NOT IN (SELECT mask FROM shared) AND w.mask & (1 << i) > 0
+             GROUP BY w.mask HAVING count(*) = count(s.mask))
+      SELECT array_to_string(list_filter([{names}],
+               lambda c, n: mask & (1 << (n - 1)) > 0), ',') AS columns,
+             CAST(bit_count(mask) AS INTEGER) AS width,
+             (SELECT count(*) FROM coded) AS distinct_rows FROM minimal"""
+
+
+@query(_ucc_levels_sql("lineitem"))
 def unique_combinations_lineitem(spark, d):
-    """All minimal unique sets of any width; SQL would count 2047 sets."""
-    return uniqueness.unique_combinations(table(spark, d, "lineitem"))
+    """All minimal unique sets of any width of an 11-column table."""
+    return _joined(uniqueness.unique_combinations(table(spark, d, "lineitem")))
 
 
-@query("SELECT columns, distinct_rows FROM (" + _counts_sql("supplier", None) + ")")
+@query("SELECT columns, distinct_rows FROM (" + _counts_sql("supplier") + ")")
 def combination_counts(spark, d):
     cols = COLUMNS["supplier"]
     every = [c for w in range(1, len(cols) + 1) for c in combinations(cols, w)]
-    return uniqueness.distinct_counts(table(spark, d, "supplier"), every)
+    return _joined(uniqueness.distinct_counts(table(spark, d, "supplier"), every))
 
 
 def _lattice_sql(name: str) -> str:

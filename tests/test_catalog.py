@@ -6,7 +6,7 @@ import __spark_entry__ as entry
 from tests.oracle import compare, connect
 
 # whole documents take minutes of small rounds; test_substrings covers the plan
-SLOW = {"longest_shared_substring_long", "unique_combinations_lineitem"}
+SLOW = {"longest_shared_substring_long"}
 
 
 @pytest.fixture(scope="module")

@@ -209,9 +209,63 @@ def longest_shared_substring_text(spark, d):
     return substrings.longest_shared_substrings(table(spark, d, "benchmark"), "item_id", "text")
 
 
-@query()
+def _suffix_sql(name: str, id: str, text: str, top: int = 17) -> str:
+    """Suffixes in order by rank doubling from 16 to 2**top characters; neighbours' common
+    prefixes from the ranks; the least of them back to, and on to, the next other ID."""
+    ranks = "".join(f"""
+      r{k} AS MATERIALIZED (
+        SELECT a.g AS g, a.rest AS rest, dense_rank() OVER (ORDER BY a.r, coalesce(b.r, 0)) AS r
+        FROM r{k - 1} a LEFT JOIN r{k - 1} b
+          ON b.g = a.g + {1 << (k - 1)} AND a.rest > {1 << (k - 1)}),"""
+                    for k in range(5, top + 1))
+    steps = "".join(f"""
+      l{k} AS (
+        SELECT p.g AS g, h, p.id AS id, hid, nr,
+               len + CASE WHEN a.r = b.r AND least(a.rest, b.rest) >= {1 << k}
+                          THEN {1 << k} ELSE 0 END AS len
+        FROM l{k + 1} p LEFT JOIN r{k} a ON a.g = p.g + len LEFT JOIN r{k} b ON b.g = h + len),""" for k in range(top - 1, 3, -1))
+    same = " + ".join(f"(left(a.w, {j}) = left(b.w, {j}) AND length(a.w) >= {j} "
+                      f"AND length(b.w) >= {j})::INT" for j in range(1, 16))
+    return f"""
+      WITH texts AS MATERIALIZED (
+        SELECT {id} AS id, t, CAST(sum(length(t) + 1) OVER (ORDER BY n) AS BIGINT) - length(t) AS g0
+        FROM (SELECT {id}, coalesce({text}, '') AS t, row_number() OVER () AS n FROM {name}
+              WHERE {id} IS NOT NULL)),
+      pieces AS (
+        SELECT id, g0 + c * 256 AS g0, substring(t, c * 256 + 1, 271) AS piece,
+               length(t) - c * 256 AS rest, least(length(t) - c * 256, 256) AS own
+        FROM (SELECT *, unnest(range((length(t) + 255) // 256)) AS c FROM texts)),
+      wins AS MATERIALIZED (
+        SELECT id, g0 + i AS g, rest - i AS rest, substring(piece, i + 1, 16) AS w
+        FROM (SELECT *, unnest(range(own)) AS i FROM pieces)),
+      r4 AS MATERIALIZED (SELECT g, rest, dense_rank() OVER (ORDER BY w) AS r FROM wins),{ranks}
+      placed AS (SELECT r{top}.g AS g, id, row_number() OVER (ORDER BY r, r{top}.g) AS nr
+                 FROM r{top} JOIN wins USING (g)),
+      l{top} AS MATERIALIZED (
+        SELECT g, lag(g) OVER w AS h, id, lag(id) OVER w AS hid, nr, 0 AS len
+        FROM placed WINDOW w AS (ORDER BY nr)),{steps}
+      lcp AS MATERIALIZED (
+        SELECT l4.g AS g, l4.id AS id, hid, nr,
+               CASE WHEN h IS NULL THEN 0 ELSE len + coalesce({same}, 0) END AS lcp
+        FROM l4 LEFT JOIN wins a ON a.g = l4.g + len LEFT JOIN wins b ON b.g = h + len),
+      runs AS (
+        SELECT *, lead(lcp, 1, 0) OVER (ORDER BY nr) AS next_lcp,
+               sum((hid IS DISTINCT FROM id)::INT) OVER (ORDER BY nr) AS run FROM lcp),
+      best AS (
+        SELECT g, id, nr, greatest(
+          min(lcp) OVER (PARTITION BY run ORDER BY nr),
+          min(next_lcp) OVER (PARTITION BY run ORDER BY nr DESC)) AS len FROM runs),
+      chosen AS (
+        SELECT id, g, len, row_number() OVER (PARTITION BY id ORDER BY len DESC, nr) AS k
+        FROM best WHERE len > 0)
+      SELECT o.id AS {id}, coalesce(substring(t, CAST(g - g0 + 1 AS BIGINT), len), '') AS substring
+      FROM (SELECT DISTINCT id FROM texts) o LEFT JOIN chosen c ON c.id = o.id AND k = 1
+      LEFT JOIN texts x ON x.id = c.id AND g BETWEEN g0 AND g0 + length(t) - 1"""
+
+
+@query(_suffix_sql("documents", "doc_id", "text"))
 def longest_shared_substring_long(spark, d):
-    """Whole documents; far too much text for substrings in SQL."""
+    """Whole documents."""
     return substrings.longest_shared_substrings(table(spark, d, "documents"), "doc_id", "text")
 
 

@@ -25,6 +25,21 @@ def csv_dialect(spark, d):
     return files.read_csv(spark, path, rows.schema)
 
 
+@query("""SELECT doc_id, chr(10) || coalesce(text, '"') AS text, lang, source, n_chars
+          FROM documents""")
+def csv_multiline(spark, d):
+    """Whole documents with quotes and line breaks, every text beginning with one."""
+    path = scratch_path(spark, "multiline")
+    rows = table(spark, d, "documents").select(
+        "doc_id", F.concat(F.lit("\n"), F.coalesce("text", F.lit('"'))).alias("text"), "lang",
+        "source", "n_chars")
+    rows.write.options(sep=";", quote='"', escape="\\", header="true", quoteAll="true",
+                       ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false",
+                       nullValue="\u0001").csv(path)
+    return files.read_csv(spark, path, rows.schema, files.CsvDialect(
+        multi_line=True, ignore_leading_blanks=False))
+
+
 @query("SELECT o_orderkey, o_custkey, o_orderpriority FROM orders WHERE o_orderstatus = 'O'")
 def csv_malformed(spark, d):
     """Orders of one status get a field too many, of another a field too few."""

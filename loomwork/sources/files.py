@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from loomwork.sources.records import read_records
+
 # A character no text file holds, so that only an absent field reads as null.
 NEVER = "\u0001"
 
@@ -21,7 +23,8 @@ class CsvDialect:
     ``skip_differing`` drops lines with too few or too many fields.
     ``strict_quotes`` keeps only what stands inside quotes: fields that are not
     quoted as a whole read as null.
-    ``multi_line`` reads line breaks inside quotes as text; a file is then one task.
+    ``multi_line`` reads line breaks inside quotes as text. Large files are still read
+    by many tasks; only without a schema is each file one task's work.
     """
 
     sep: str = ";"
@@ -53,6 +56,8 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = N
     if dialect.strict_quotes:
         return _strict_quoted(spark, path, schema, dialect)
     reader = spark.read.options(**dialect.options())
+    if dialect.multi_line and schema is not None:
+        return _parsed(_records(spark, path, dialect), _typed(schema), dialect)
     if schema is None:
         return reader.option("inferSchema", "true").csv(path)
     df = reader.schema(schema).csv(path)
@@ -63,24 +68,47 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = N
     return df
 
 
+def _typed(schema: StructType | str) -> StructType:
+    return schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
+
+
+def _records(spark: SparkSession, path: str, dialect: CsvDialect) -> DataFrame:
+    """Records with their line breaks, as ``value``; headers and blank lines left out."""
+    found = read_records(spark, path, dialect.quote, dialect.escape, dialect.encoding)
+    if dialect.header:
+        found = found.where("record > 1")
+    return found.select(F.regexp_replace("value", "\r$", "").alias("value")).where(
+        F.trim("value") != "")
+
+
+def _parsed(records: DataFrame, schema: StructType, dialect: CsvDialect) -> DataFrame:
+    """Records by Spark's own parser, which marks those with differing fields."""
+    marked = StructType([*schema.fields, StructField(NEVER, StringType())])
+    options = {k: v for k, v in dialect.options().items() if k not in ("header", "encoding")}
+    options |= {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": NEVER}
+    rows = records.select(F.from_csv("value", marked.toDDL(), options).alias("row"))
+    if dialect.skip_differing:
+        rows = rows.where(F.col("row").getField(NEVER).isNull())
+    return rows.select(*[F.col("row").getField(f.name).alias(f.name) for f in schema])
+
+
 def _strict_quoted(spark: SparkSession, path: str, schema: StructType | str | None,
                    dialect: CsvDialect) -> DataFrame:
-    """Only quoted text counts: ``1;"a"`` reads as ``(null, a)``.
-
-    The field pattern works on lines, so quoted line breaks are not supported in
-    this mode.
-    """
+    """Only quoted text counts: ``1;"a"`` reads as ``(null, a)``."""
     if schema is None:
         raise ValueError("strict quotes need a schema")
-    schema = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
+    schema = _typed(schema)
     q, e, s = (_rx(c) for c in (dialect.quote, dialect.escape, dialect.sep))
     field = rf"\s*{q}((?:[^{q}{e}]|{e}.)*){q}\s*|([^{s}]*)"
-    # whole lines, the first one of each file left out if it is the header
-    lines = spark.read.options(
-        sep="\u0001", quote="", escape="", encoding=dialect.encoding,
-        header=str(dialect.header).lower()).schema("value string").csv(path)
-    quoted = F.regexp_extract_all("value", F.lit(rf"(?:^|{s})(?:{field})"), F.lit(1))
-    cells = F.transform(quoted, lambda c: F.when(c != "", F.regexp_replace(c, rf"{e}(.)", "$1")))
+    if dialect.multi_line:
+        lines = _records(spark, path, dialect)
+    else:  # whole lines, the first one of each file left out if it is the header
+        lines = spark.read.options(
+            sep="\u0001", quote="", escape="", encoding=dialect.encoding,
+            header=str(dialect.header).lower()).schema("value string").csv(path)
+    quoted = F.regexp_extract_all("value", F.lit(rf"(?s)(?:^|{s})(?:{field})"), F.lit(1))
+    cells = F.transform(quoted, lambda c: F.when(c != "", F.regexp_replace(
+        c, rf"(?s){e}(.)", "$1")))
     rows = lines.select(cells.alias("cells"))
     if dialect.skip_differing:
         rows = rows.where(F.size("cells") == len(schema))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from loomwork.plans import tree
 from loomwork.sources import files
+from loomwork.sources.records import read_records
 
 SCHEMA = "id int, a string, b string"
 
@@ -98,12 +99,62 @@ def test_tree_learns(spark):
     assert {"prediction", "label", "features", "indexedFeatures"} <= set(run.predictions.columns)
 
 
-def test_quoted_line_break(spark, tmp_path):
-    path = tmp_path / "breaks.csv"
-    path.write_text('a;b;c\n1;"x\ny";z\n2;p;q\n')
-    df = files.read_csv(spark, str(path), "a int, b string, c string",
-                        files.CsvDialect(multi_line=True))
-    assert [tuple(r) for r in df.orderBy("a").collect()] == [(1, "x\ny", "z"), (2, "p", "q")]
+BREAKS = ["1;\"x\ny\";z", "2;p;q", "3;\"\n\n;\";\"a \\\"quoted\\\" word\n\"", "4;\"\";",
+          "5;\"" + "long\r\n" * 60 + "\";end", "6;u;\"v\"", "7;\"\n8;fake;row\n\";w"]
+PARSED = [(1, "x\ny", "z"), (2, "p", "q"), (3, "\n\n;", 'a "quoted" word\n'), (4, "", None),
+          (5, "long\r\n" * 60, "end"), (6, "u", "v"), (7, "\n8;fake;row\n", "w")]
+
+
+@pytest.fixture()
+def small_pieces(spark):
+    """Files are cut every few bytes."""
+    keys = {"spark.sql.files.maxPartitionBytes": "40", "spark.sql.files.openCostInBytes": "0",
+            "spark.sql.files.minPartitionNum": "1"}
+    before = {k: spark.conf.get(k, None) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("ending", ["\n", "\r\n", ""])
+def test_quoted_line_breaks_across_pieces(spark, tmp_path, small_pieces, ending):
+    for n in range(3):  # every file has a header with a line break
+        (tmp_path / f"{n}.csv").write_bytes(
+            ('a;"b\nb";c\n' + "\n".join(BREAKS) + ending).encode())
+    found = files.read_csv(spark, str(tmp_path), SCHEMA, files.CsvDialect(multi_line=True))
+    assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 20
+    assert sorted(rows(found)) == sorted(PARSED * 3)
+    numbers = read_records(spark, str(tmp_path)).groupBy("file").agg(
+        F.sort_array(F.collect_list("record")).alias("n")).collect()
+    assert [r.n for r in numbers] == [list(range(1, 9))] * 3
+
+
+def test_quoted_line_breaks_strict_and_skipping(spark, tmp_path, small_pieces):
+    path = tmp_path / "strict.csv"
+    path.write_text('"id";"a";"b"\n"1";"x\n\ny";plain\n"2";"p";"q"\n"3";"too\nfew"\n')
+    dialect = dict(strict_quotes=True, multi_line=True)
+    found = files.read_csv(spark, str(path), SCHEMA, files.CsvDialect(**dialect))
+    assert sorted(rows(found)) == [(1, "x\n\ny", None), (2, "p", "q"), (3, "too\nfew", None)]
+    kept = files.read_csv(spark, str(path), SCHEMA, files.CsvDialect(**dialect, skip_differing=True))
+    assert sorted(rows(kept)) == [(1, "x\n\ny", None), (2, "p", "q")]
+    kept = files.read_csv(spark, str(path), SCHEMA, files.CsvDialect(
+        multi_line=True, skip_differing=True))
+    assert sorted(rows(kept)) == [(1, "x\n\ny", "plain"), (2, "p", "q")]
+
+
+def test_quoted_line_breaks_encoding_and_open_end(spark, tmp_path, small_pieces):
+    path = tmp_path / "latin.csv"
+    path.write_bytes("1;\"é\nü\";x\n2;\"ß;never closed\nat all".encode("iso-8859-1"))
+    found = files.read_csv(spark, str(path), SCHEMA, files.CsvDialect(
+        header=False, multi_line=True, encoding="ISO-8859-1"))
+    assert min(rows(found)) == (1, "é\nü", "x") and found.count() == 2
+    with pytest.raises(ValueError):
+        files.read_csv(spark, str(path), SCHEMA, files.CsvDialect(multi_line=True, encoding="UTF-16"))
+    (tmp_path / "none.csv").write_text("")
+    assert files.read_csv(spark, str(tmp_path / "none.csv"), SCHEMA,
+                          files.CsvDialect(multi_line=True)).count() == 0
 
 
 def test_strict_header_by_position_and_bad_cells(spark, tmp_path):

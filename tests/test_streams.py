@@ -1,9 +1,10 @@
 """Streams in several batches give what the whole table gives."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from loomwork.plans import lastwriter
-from loomwork.streaming import feeds
+from loomwork.streaming import feeds, progress, records, writes
 
 COLS = ["key", "value", "counter", "identifier"]
 
@@ -65,3 +66,102 @@ def test_restart_does_not_repeat(spark, tmp_path):
     for _ in range(2):
         feeds.run_to_end(stream.select("identifier"), feeds.append_sink(out), checkpoint=check)
     assert feeds.collected(spark, out, "identifier long").count() == 300
+
+
+def three_files(spark, tmp_path, n=230):
+    """Numbered records in files of differing sizes."""
+    folder = tmp_path / "numbered"
+    for i, (a, b) in enumerate([(0, 20), (20, 133), (133, n)]):
+        spark.range(a, b).coalesce(1).write.option("parquet.block.size", 1024).parquet(
+            str(folder / f"part={i}"))
+    return str(folder)
+
+
+@pytest.fixture()
+def listened(spark, tmp_path):
+    """Runs a stream of numbered records while one listener keeps its progress."""
+    listener = progress.ProgressTable(spark, str(tmp_path / "out"))
+    spark.streams.addListener(listener)
+
+    def run(folder, sink):
+        check = str(tmp_path / "check")
+        feed = records.record_feed(spark, folder, check, 50, per_task=30)
+        listener.wait(records.run_records(
+            progress.observed(feed.select("id"), top=F.max("id")), sink, check))
+        return {r.batch: (r.records, r.top) for r in progress.batches(spark, listener.path).collect()}
+
+    yield run
+    spark.streams.removeListener(listener)
+
+
+REPORTED = {0: (50, 49), 1: (50, 99), 2: (50, 149), 3: (50, 199), 4: (30, 229)}
+
+
+def test_batches_of_records(spark, tmp_path, listened):
+    folder, seen = three_files(spark, tmp_path), {}
+
+    def keep(batch, number):
+        seen[number] = sorted(r.id for r in batch.collect())
+
+    assert listened(folder, keep) == REPORTED
+    assert seen == {n: list(range(50 * n, min(50 * n + 50, 230))) for n in range(5)}
+
+
+def test_records_go_on_after_a_failure(spark, tmp_path, listened):
+    folder, seen = three_files(spark, tmp_path), {}
+
+    def keep(batch, number, fail=True):
+        if fail and number == 2:
+            raise RuntimeError("lost")
+        seen.setdefault(number, []).append(sorted(r.id for r in batch.collect()))
+
+    with pytest.raises(Exception):
+        listened(folder, keep)
+    assert sorted(seen) == [0, 1]
+    for _ in range(2):  # the second run has nothing left to do
+        assert listened(folder, lambda b, n: keep(b, n, fail=False)) == REPORTED
+    assert {n: len(v) for n, v in seen.items()} == {n: 1 for n in range(5)}
+    assert sorted(x for v in seen.values() for x in v[0]) == list(range(230))
+
+
+def plain_writes(rows):
+    """{arrival: (accepted, stored version)} one write after another."""
+    held, out = {}, {}
+    for key, value, counter, identifier, arrival in sorted(rows, key=lambda r: r[4]):
+        ok = key not in held or held[key][1:] < (counter, identifier)
+        if ok:
+            held[key] = (value, counter + 1, identifier)
+        out[arrival] = (ok, *held[key])
+    return out
+
+
+@pytest.mark.parametrize("per_batch", [7, 60])
+def test_write_stream(spark, tmp_path, per_batch):
+    rows = [(i % 4 if i % 9 else None, None if i % 5 == 0 else f"v{i}", (i * 7) % 11, (i * 5) % 3, i)
+            for i in range(60)]
+    schema = "key long, value string, counter long, identifier int, arrival long"
+    folder, check, out = (str(tmp_path / n) for n in ("in", "check", "out"))
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(folder)
+    answers = writes.write_stream(records.record_feed(spark, folder, check, per_batch))
+    records.run_records(answers, feeds.append_sink(out), check, "update")
+    got = feeds.collected(spark, out, answers.schema).collect()
+    assert len({r.batch for r in got}) == -(-60 // per_batch)
+    assert {r.arrival: (r.accepted, r.value, r.counter, r.identifier) for r in got} == plain_writes(rows)
+    # the same as single writes applied to a table, one after another
+    state = spark.createDataFrame([], "key long, value string, counter long, identifier int")
+    few = [r for r in rows if r[0] == 1][:6]
+    for r in few:
+        write = spark.createDataFrame([r[:4]], state.schema)
+        state = spark.createDataFrame(lastwriter.apply_writes(state, write).collect(), state.schema)
+    assert [tuple(r) for r in state.collect()] == [(1, *plain_writes(few)[few[-1][4]][1:])]
+
+
+def test_write_stream_forgets(spark, tmp_path):
+    folder, check, out = (str(tmp_path / n) for n in ("in", "check", "out"))
+    spark.createDataFrame([(1, "a", 5, 1, 0), (1, "b", 1, 1, 1), (2, "x", None, 1, 2)],
+                          "key long, value string, counter long, identifier int, arrival long"
+                          ).coalesce(1).write.parquet(folder)
+    answers = writes.write_stream(records.record_feed(spark, folder, check, 1), ttl_ms=1)
+    records.run_records(answers, feeds.append_sink(out), check, "update", timers=True)
+    got = {r.arrival: r.accepted for r in feeds.collected(spark, out, answers.schema).collect()}
+    assert got == {0: True, 1: True}  # the version was gone when the older write came

@@ -125,6 +125,15 @@ def reduce_concat(spark, d):
     return aggregates.joined_text(table(spark, d, "nation"), "n_name", ["n_regionkey"])
 
 
+@query("""WITH whole AS (SELECT string_agg(o_orderpriority, '; ' ORDER BY o_orderpriority) AS t
+                         FROM orders)
+          SELECT i AS piece, i * 4096 AS at, substring(t, i * 4096 + 1, 4096) AS joined
+          FROM (SELECT t, unnest(range((length(t) + 4095) // 4096)) AS i FROM whole)""")
+def reduce_column(spark, d):
+    """A whole column of much repeated values, reduced to one text in pieces."""
+    return aggregates.joined_text_pieces(table(spark, d, "orders"), "o_orderpriority", "; ", 4096)
+
+
 TOP_SQL = """SELECT c_mktsegment, c_name, c_acctbal FROM (
   SELECT *, row_number() OVER (PARTITION BY c_mktsegment
                                ORDER BY c_acctbal DESC NULLS LAST, c_name) AS rn FROM customer)

@@ -48,7 +48,8 @@ def primes_max(spark, d):
 @query(_PRIMES + "SELECT CAST(SUM(prime) AS BIGINT) AS total FROM "
                  "(SELECT DISTINCT prime FROM found)")
 def primes_sum(spark, d):
-    return aggregates.sum_where(_found(spark, d).select("prime").distinct(), "prime", F.lit(True))
+    once = primes.primes_of_ranges(_requests(spark, d), segment=1 << 16)
+    return aggregates.sum_where(once, "prime", F.lit(True))
 
 
 @query(_PRIMES + """SELECT prime // 10000 AS piece, CAST(COUNT(*) AS INTEGER) AS items,

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 __all__ = [
     "add_days", "all_distinct_chars", "bit_clear", "bit_flip", "bit_get", "bit_set",
     "characters", "contains_text", "digest_matches", "hash_bucket", "in_range",
-    "inclusion_line", "intersect_all", "is_prime", "leave_one_out", "pair_lcs",
+    "inclusion_line", "intersect_all", "leave_one_out",
     "prefixed", "register_twice_plus_half", "says", "sha256_hex", "slice_text",
     "text_to_int", "twice_plus_half", "typed_null",
 ]
@@ -105,37 +105,6 @@ def in_range(col: Column, low: int | Column, high: int | Column) -> Column:
     return col.between(low, high)
 
 
-def is_prime(col: Column) -> Column:
-    """Trial division by odd divisors up to the square root, as an expression.
-
-    For the values of a column. A whole range is sieved instead, see
-    ``loomwork.plans.primes``. The small divisors come first as plain ``%``
-    terms inside generated code, so that most numbers never build the divisor
-    array. A square root rounded to double may be off by one above 2**52, hence
-    the bound of one more divisor and the exact ``d * d <= n`` test inside.
-    """
-    n = col.cast("long")
-    zero = F.lit(0).cast("long")
-    small = [3, 5, 7, 11, 13, 17, 19, 23, 29, 31, 37]
-    has_small = F.lit(False)
-    for p in small:
-        has_small = has_small | ((n % p == zero) & (n != p))
-    start = F.lit(small[-1] + 2).cast("long")
-    bound = F.greatest(start, F.floor(F.sqrt(n.cast("double"))).cast("long") + 1)
-    step = F.lit(2).cast("long")
-    has_odd = F.exists(F.sequence(start, bound, step),
-                       lambda d: (d * d <= n) & (n % d == zero))
-    return F.coalesce(
-        F.when(n < 2, F.lit(False))
-        .when(n == 2, F.lit(True))
-        .when(n % 2 == zero, F.lit(False))
-        .when(has_small, F.lit(False))
-        .when(n < small[-1] * small[-1], F.lit(True))
-        .otherwise(~has_odd),
-        F.lit(False),
-    )
-
-
 def text_to_int(col: Column) -> Column:
     """The text as a whole number, or null where it is not one."""
     return col.try_cast("bigint")
@@ -157,36 +126,3 @@ def intersect_all(arrays: Column) -> Column:
 
 def inclusion_line(dependent: Column, referenced: Column) -> Column:
     return F.concat(dependent, F.lit(" < "), F.array_join(referenced, ", "))
-
-
-def pair_lcs(left: Column, right: Column) -> Column:
-    """Longest common substring of two short strings in the same row.
-
-    Row-local, so a table of pairs needs no shuffle. A common substring of
-    length L contains one of length L - 1, so the length is found bit by bit;
-    ties give the smallest string and nothing shared gives ``""``. Meant for
-    fields of up to about a thousand characters; long texts go through
-    ``loomwork.plans.substrings`` with the pair as scope.
-    """
-    size = F.least(F.length(left), F.length(right))
-
-    def windows(width: Column) -> Column:
-        # greatest() keeps sequence() ascending when the window does not fit
-        last = F.length(left) - width + 1
-        starts = F.sequence(F.lit(1), F.greatest(last, F.lit(1)))
-        return F.transform(starts, lambda i: F.substring(left, i, width))
-
-    def shared(width: Column) -> Column:
-        return (width <= size) & F.exists(windows(width), lambda s: F.contains(right, s))
-
-    bits = F.reverse(F.sequence(F.lit(0), F.greatest(
-        F.floor(F.log2(F.greatest(size, F.lit(1)))).cast("int"), F.lit(0))))
-    length = F.aggregate(
-        bits, F.lit(0),
-        lambda acc, b: F.when(
-            shared(acc + F.call_function("shiftleft", F.lit(1), b)),
-            acc + F.call_function("shiftleft", F.lit(1), b)).otherwise(acc),
-    )
-    best = F.array_min(F.filter(windows(length), lambda s: F.contains(right, s)))
-    return F.when(left.isNull() | right.isNull(), F.lit(None).cast("string")).otherwise(
-        F.when(length == 0, F.lit("")).otherwise(best))

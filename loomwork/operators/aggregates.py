@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loomwork.session import materialize
+
 
 def joined_text(df: DataFrame, value: str, by: Sequence[str], sep: str = ",",
                 name: str = "joined") -> DataFrame:
@@ -24,32 +26,52 @@ def joined_text(df: DataFrame, value: str, by: Sequence[str], sep: str = ",",
     )
 
 
-def joined_text_pieces(df: DataFrame, value: str, sep: str = ",", pieces: int | None = None,
-                       block: int = 1000) -> DataFrame:
-    """All values of a column, sorted and joined, as ordered pieces.
+def joined_text_pieces(df: DataFrame, value: str, sep: str = ",",
+                       size: int = 1 << 20) -> DataFrame:
+    """All values of a column, repeats kept, sorted and joined, as pieces of ``size`` characters.
 
-    Reducing a column to one string puts the whole column into one task. Here a
-    range partitioning cuts the sorted values into ``pieces`` tasks, and the
-    text of the reduction is the pieces joined with ``sep`` in ``piece`` order.
-    Repeats are counted first and dealt out in blocks, so a value that fills a
-    third of the column spreads over as many pieces as any other third.
+    ``piece, at, joined``: the text of the reduction is the pieces in order, each ``size``
+    characters long but the last; ``at`` is the piece's offset. Reducing a column to
+    one string would put the whole column into one row. Here every distinct value gets
+    the place at which its repeats begin, by running sums within ranges of values and over
+    ranges, and every piece is put together from the values that reach into it. A value
+    that fills a third of the column is one row until then, and a long one is cut.
     """
-    pieces = pieces or max(df.sparkSession.sparkContext.defaultParallelism, 1)
     counted = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(F.col(value).cast("string").alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    )
-    b, size = F.col("b"), F.lit(block).cast("long")
-    blocks = counted.select(
-        "v", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / size)))
-        .alias("b")
-    ).select("v", "b", F.least(size, F.col("n") - b * size).cast("int").alias("times"))
-    ranged = blocks.repartitionByRange(pieces, "v", "b").select(
-        F.spark_partition_id().alias("piece"), "v", "b", "times",
-        F.array_join(F.array_repeat(F.col("v"), F.col("times")), sep).alias("text"))
-    return ranged.groupBy("piece").agg(
-        F.sum("times").alias("items"),
-        F.expr(f"listagg(text, '{sep}') WITHIN GROUP (ORDER BY v, b)").alias("joined"))
+        df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("string").alias("v"))
+        .agg(F.count(F.lit(1)).alias("n")))
+    step = F.length("v").cast("long") + len(sep)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = materialize(counted.repartitionByRange(parts, "v").select(
+        F.spark_partition_id().alias("part"), "v", "n", (F.col("n") * step).alias("chars")), "values")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    bases = ranged.groupBy("part").agg(F.sum("chars").alias("chars"), F.lit(1).alias("one")).select(
+        "part", F.coalesce(F.sum("chars").over(before), F.lit(0)).alias("base"),
+        F.sum("chars").over(Window.partitionBy("one")).alias("total"))
+    inside = Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    placed = ranged.withColumn("first", F.coalesce(F.sum("chars").over(inside), F.lit(0))).join(
+        bases, "part").select(
+        "v", (F.col("base") + F.col("first")).alias("first"), "chars",
+        (F.col("total") - len(sep)).alias("end"))  # nothing after the last value
+    width = F.lit(size).cast("long")
+    piece = F.explode(F.sequence(
+        F.call_function("div", F.col("first"), width),
+        F.call_function("div", F.greatest(
+            F.least(F.col("first") + F.col("chars"), F.col("end")) - 1, F.col("first")), width)))
+    reached = placed.select("*", piece.alias("piece"))
+    # the part of a value's repeats inside a piece: from a phase of one repeat, so many characters
+    a = F.greatest(F.col("first"), F.col("piece") * width)
+    b = F.least(F.col("first") + F.col("chars"), (F.col("piece") + 1) * width, F.col("end"))
+    cut = reached.where(b > a).select(
+        "piece", a.alias("a"), (b - a).cast("int").alias("len"),
+        F.concat("v", F.lit(sep)).alias("unit"), ((a - F.col("first")) % step).cast("int").alias(
+            "phase"))
+    times = F.ceil((F.col("phase") + F.col("len")) / F.length("unit")).cast("int")
+    text = F.substring(F.repeat("unit", times), F.col("phase") + 1, F.col("len"))
+    return cut.select("piece", "a", text.alias("text")).groupBy("piece").agg(
+        F.min("a").alias("at"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("a", "text"))),
+                                 lambda r: r["text"]), "").alias("joined"))
 
 
 def number_list_pieces(df: DataFrame, number: str, width: int = 100_000,

@@ -6,8 +6,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window, WindowSpec
 
 from loomwork.functions import sha256_hex
+from loomwork.operators import bloom
+from loomwork.session import materialize
+
 
 def _names(names: DataFrame, column: str, max_rows: int | None) -> DataFrame:
     keys = names.toDF(column)
@@ -44,18 +48,18 @@ def summarize_others(df: DataFrame, key: str, value: str) -> DataFrame:
     partial sums combine before the shuffle, so a key holding a third of the
     rows costs no more than any other. Keys that occur alone give no row.
 
-    ``value`` must be an integer or decimal column: taking one's own part off a
-    total of floating numbers cancels, so these are refused. Cast them to a
-    decimal of the scale that counts.
+    Taking one's own part off a total of floating numbers would cancel, so theirs are
+    summed from the keys before and the keys after; a NaN counts for others only.
     """
-    if df.schema[value].dataType.typeName() in ("double", "float"):
-        raise TypeError(f"{value}: cast floating numbers to a decimal first")
+    floating = df.schema[value].dataType.typeName() in ("double", "float")
     per_key = df.where(F.col(key).isNotNull()).groupBy(key).agg(
         F.count(F.lit(1)).alias("own_rows"),
         F.count(value).alias("own_values"),
         F.sum(value).alias("own_sum"),
         F.max(value).alias("own_max"),
     )
+    if floating:
+        per_key = _with_sum_of_others(per_key, key)
     totals = per_key.agg(F.struct(
         F.sum("own_rows").alias("rows"), F.sum("own_values").alias("values"),
         F.sum("own_sum").alias("sum"))).scalar()
@@ -71,6 +75,7 @@ def summarize_others(df: DataFrame, key: str, value: str) -> DataFrame:
             key,
             (F.col("all.rows") - F.col("own_rows")).alias("other_rows"),
             F.when(F.col("all.values") > F.col("own_values"),
+                   F.col("others") if floating else
                    F.col("all.sum") - F.coalesce("own_sum", F.lit(0))).alias("other_sum"),
             F.when(F.col("own_max") == F.try_element_at("top", F.lit(1)),
                    F.try_element_at("top", F.lit(2)))
@@ -79,6 +84,29 @@ def summarize_others(df: DataFrame, key: str, value: str) -> DataFrame:
     )
 
 
+def _with_sum_of_others(per_key: DataFrame, key: str) -> DataFrame:
+    """Adds ``others``, the sum of ``own_sum`` over all other rows, without subtraction.
+
+    Running sums from both ends within ranges of keys, and over the ranges, of which
+    there are as many as shuffle partitions.
+    """
+    parts = int(per_key.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = materialize(per_key.repartitionByRange(parts, key).withColumn(
+        "part", F.spark_partition_id()), "keys")
+
+    def around(column: str, line: WindowSpec) -> Column:
+        before = F.sum(column).over(line.rowsBetween(Window.unboundedPreceding, -1))
+        after = F.sum(column).over(line.rowsBetween(1, Window.unboundedFollowing))
+        zero = F.lit(0.0)
+        return F.coalesce(before, zero) + F.coalesce(after, zero)
+
+    whole = ranged.groupBy("part").agg(F.sum("own_sum").alias("sum")).select(
+        "part", around("sum", Window.orderBy("part")).alias("far"))
+    near = around("own_sum", Window.partitionBy("part").orderBy(key)).alias("near")
+    return ranged.select("*", near).join(whole, "part").withColumn(
+        "others", F.col("near") + F.col("far")).drop("part", "near", "far")
+
+
 def digest_join(digests: DataFrame, digest: str, values: DataFrame, value: str,
                 how: str = "inner") -> DataFrame:
     """Match stored SHA-256 digests against a caller-supplied table of values.
@@ -107,28 +135,24 @@ def bitmap_prefilter(df: DataFrame, key: str, members: DataFrame, member: str,
                      bits: int = 1 << 14, position=None) -> DataFrame:
     """Rows of ``df`` whose hashed key position is set by ``members``.
 
-    A one-hash Bloom filter as a table of set positions: it passes every true
-    member and some others, so follow it with the exact join. The broadcast
-    side has at most ``bits`` distinct integers, whatever the size of
-    ``members``, and ``bits`` itself is bounded here.
+    One hash, as a table of at most ``bits`` set positions: it passes every true member
+    and some others, so follow it with the exact join.
     """
-    if not 0 < bits <= 1 << 20:
-        raise ValueError("bits must lie in 1 .. 2**20")
     position = position or (lambda c: F.pmod(F.xxhash64(c), F.lit(bits).cast("long")))
     marks = members.select(position(F.col(member)).alias("__pos")).distinct()
     return (
         df.withColumn("__pos", position(F.col(key)))
-        .join(F.broadcast(marks), "__pos", "left_semi")
+        .join(marks, "__pos", "left_semi")
         .drop("__pos")
     )
 
 
 def bloom_semi_join(df: DataFrame, key: str, members: DataFrame, member: str,
-                    bits: int = 1 << 14, position=None) -> DataFrame:
-    """Exact semi-join behind a bitmap pre-filter that thins the shuffled side."""
-    thinned = bitmap_prefilter(df, key, members, member, bits, position)
+                    rate: float = 0.01) -> DataFrame:
+    """Exact semi-join behind a Bloom filter that thins the shuffled side."""
+    built = bloom.build(members, member, rate)
     keys = members.select(F.col(member).alias(key)).distinct()
-    return thinned.join(keys, key, "left_semi")
+    return bloom.passing(df, key, built).join(keys, key, "left_semi")
 
 
 def nested_field(record: str, field: str) -> Column:

@@ -1,5 +1,7 @@
 """Ranges, segments and primes."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,3 +85,40 @@ def test_very_long_range(spark):
 def test_range_source(spark):
     assert inline.number_range(spark, 3, 5).count() == 3
     assert inline.number_range(spark, 5, 3).count() == 0
+
+
+def test_large_numbers(spark):
+    def plain(n):
+        return n > 1 and all(n % d for d in range(2, int(n ** 0.5) + 1))
+    near = [10 ** 12 + i for i in range(2000)]
+    start = time.perf_counter()
+    rows = spark.createDataFrame([(n,) for n in near], "n long").where(fn.is_prime(F.col("n"))).collect()
+    assert time.perf_counter() - start < 5
+    sieved = found(spark, near[0], near[-1])
+    assert sorted(r.n for r in rows) == sieved
+    # squares of primes, strong pseudoprimes to few bases, the largest primes of a long
+    some = {211 ** 2: False, 223 * 227: False, 2047: False, 3215031751: False,
+            3474749660383: False, 341550071728321: False, 3825123056546413051: False,
+            2 ** 61 - 1: True, 9223372036854775783: True, 9223372036854775807: False,
+            -7: False, 0: False, 1: False, 2: True, 4_294_967_291: True}
+    df = spark.createDataFrame([(n,) for n in some], "n long")
+    assert {r.n: r.p for r in df.select("n", fn.is_prime(F.col("n")).alias("p")).collect()} == some
+    assert all(plain(n) == p for n, p in some.items() if n < 10 ** 7)
+
+
+def test_numbers_are_sieved_once(spark, monkeypatch):
+    req = requests(spark, (1, 5000), (90, 100), (4000, 9000), (4000, 9000), (8990, 8990), (7, 3), (-9, 2))
+    calls = []
+    plain = primes._sieve
+    monkeypatch.setattr(primes, "_sieve", lambda lo, hi, base: calls.append((lo, hi)) or plain(lo, hi, base))
+    pieces = primes.grid_segments(req.where("range_end >= 2"), 1000).orderBy("segment", "lo", "hi").toArrow()
+    once = [p for b in primes._sieve_cells(True)(pieces.to_batches()) for p in b.column("prime").to_pylist()]
+    assert once == found(spark, 1, 9000)
+    spans = sorted(calls)
+    assert all(a[1] < b[0] for a, b in zip(spans, spans[1:]))  # no number twice
+    got = primes.primes_of_ranges(req, 1000)
+    assert sorted(r.prime for r in got.collect()) == once
+    each = primes.primes_in_ranges(req, 1000).groupBy("request").count().collect()
+    assert {r.request: r["count"] for r in each} == {
+        0: len(found(spark, 1, 5000)), 1: 1, 2: len(found(spark, 4000, 9000)),
+        3: len(found(spark, 4000, 9000)), 6: 1}

@@ -1,10 +1,14 @@
 """Operators whose edge cases the catalog tables do not have, and the actions."""
 
+import math
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from loomwork import functions as fn
-from loomwork.operators import aggregates, bitmaps, filters, joins, ordering, projections, sets
+from loomwork.operators import aggregates, bitmaps, bloom, filters, joins, ordering, projections, sets
 from loomwork.sources import inline, sinks
 
 
@@ -17,19 +21,21 @@ def test_numbers_walk(spark):
     lines = numbers.select(fn.prefixed("This is a number: ", F.col("value")).alias("line"))
     ones = ordering.sort_by(lines.where(fn.contains_text(F.col("line"), "1")))
     assert ones.count() == 19 and ones.first()["line"] == "This is a number: 1"
-    pieces = aggregates.joined_text_pieces(ones, "line", pieces=3).orderBy("piece").collect()
-    assert ",".join(r["joined"] for r in pieces) == ",".join(col(ones, "line"))
-    assert sum(r["items"] for r in pieces) == 19
+    pieces = aggregates.joined_text_pieces(ones, "line", size=100).orderBy("piece").collect()
+    assert "".join(r["joined"] for r in pieces) == ",".join(col(ones, "line"))
+    assert {len(r["joined"]) for r in pieces[:-1]} == {100}
 
 
-def test_joined_pieces_spread_a_hot_value(spark):
-    hot = inline.number_range(spark, 1, 400).select(F.lit("x").alias("v"))
-    pieces = aggregates.joined_text_pieces(hot, "v", pieces=4, block=30).orderBy("piece").collect()
-    assert sum(r["items"] for r in pieces) == 400 and max(r["items"] for r in pieces) < 400
-    assert ",".join(r["joined"] for r in pieces) == ",".join(["x"] * 400)
-    close = spark.createDataFrame([(v,) for v in ["a", "a!", "a", "a,", "a"]], "v string")
-    pieces = aggregates.joined_text_pieces(close, "v", "-", pieces=2, block=2).orderBy("piece")
-    assert "-".join(col(pieces, "joined")) == "a-a-a-a!-a,"
+@pytest.mark.parametrize("size", [1, 3, 7, 64, 10_000])
+@pytest.mark.parametrize("sep", ["", ",", "<->"])
+def test_joined_pieces(spark, size, sep):
+    values = ["x"] * 90 + ["a", "a!", "a", "a,", None, "", "", "long " * 30, "ü"]
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    want = sep.join(sorted(v for v in values if v is not None))
+    got = aggregates.joined_text_pieces(df, "v", sep, size).orderBy("piece").collect()
+    assert [(r["piece"], r["at"], r["joined"]) for r in got] == [
+        (i // size, i, want[i:i + size]) for i in range(0, len(want), size)]
+    assert aggregates.joined_text_pieces(df.where("v IS NULL"), "v", sep, size).count() == 0
 
 
 def test_inline_records(spark):
@@ -61,13 +67,15 @@ def test_others(spark):
     assert joins.summarize_others(one, "k", "v").count() == 0
 
 
-def test_others_refuse_floating_numbers(spark):
-    df = spark.createDataFrame([("a", 1e17), ("b", 1.0), ("b", 2.0)], "k string, v double")
-    with pytest.raises(TypeError):
-        joins.summarize_others(df, "k", "v")
-    cents = df.withColumn("v", F.col("v").cast("decimal(28,2)"))
-    got = {r["k"]: r["other_sum"] for r in joins.summarize_others(cents, "k", "v").collect()}
-    assert got == {"a": 3, "b": 10 ** 17}
+def test_others_of_floating_numbers(spark):
+    df = spark.createDataFrame(
+        [("a", 1e17), ("b", 1.0), ("b", 2.0), ("c", 0.1)], "k string, v double")
+    got = {r["k"]: (r["other_sum"], r["other_max"]) for r in joins.summarize_others(
+        df, "k", "v").collect()}
+    assert got == {"a": (3.1, 2.0), "b": (1e17, 1e17), "c": (1e17 + 3, 1e17)}
+    odd = df.unionAll(spark.createDataFrame([("c", float("nan")), ("d", float("inf"))], df.schema))
+    got = {r["k"]: r["other_sum"] for r in joins.summarize_others(odd, "k", "v").collect()}
+    assert math.isnan(got["a"]) and got["c"] == float("inf") and math.isnan(got["d"])
 
 
 def test_top_of_group(spark):
@@ -155,15 +163,45 @@ def test_bitmaps(spark):
     assert bitmaps.logical_length(none, "k").first()["length"] == 0
 
 
+def test_pair_lcs_long(spark):
+    rng = random.Random(3)
+    shared = "".join(rng.choice("abé🙂") for _ in range(700))
+    left = "".join(rng.choice("acd") for _ in range(20_000 - 700)) + shared
+    right = shared + "".join(rng.choice("bef") for _ in range(20_000 - 700))
+    df = spark.createDataFrame([(left, right), ("a" * 5000, "b" + "a" * 3000), ("x" * 600, "y" * 600),
+                                (None, "x" * 600)], "l string, r string")
+    start = time.perf_counter()
+    got = [r.s for r in df.select(fn.pair_lcs(F.col("l"), F.col("r")).alias("s")).collect()]
+    assert time.perf_counter() - start < 10
+    assert shared in got[0] and len(got[0]) < 720 and got[0] in left and got[0] in right
+    assert got[1:] == ["a" * 3000, "", None]
+
+
 def test_bloom_passes_all_members(spark):
     rows = inline.number_range(spark, 1, 500, name="k")
     members = inline.number_range(spark, 100, 120, name="m")
     passed = set(col(joins.bitmap_prefilter(rows, "k", members, "m", bits=64), "k"))
     assert set(range(100, 121)) <= passed
-    assert sorted(col(joins.bloom_semi_join(rows, "k", members, "m", bits=64), "k")) == list(
-        range(100, 121))
-    with pytest.raises(ValueError):
-        joins.bitmap_prefilter(rows, "k", members, "m", bits=1 << 30)
+    assert sorted(col(joins.bloom_semi_join(rows, "k", members, "m"), "k")) == list(range(100, 121))
+    none = members.where("m < 0")
+    assert joins.bloom_semi_join(rows, "k", none, "m").count() == 0
+
+
+@pytest.mark.parametrize("rate", [0.1, 0.01, 0.001])
+def test_bloom_rate(spark, rate):
+    members = inline.number_range(spark, 1, 30_000, name="m")
+    strangers = inline.number_range(spark, 1_000_000, 1_400_000, name="k")
+    halves = [bloom.build(members.where(f"m % 2 = {i}"), "m", rate, keys=30_000) for i in (0, 1)]
+    whole = bloom.union(*halves)
+    through = bloom.passing(strangers, "k", whole).count() / 400_001
+    assert rate / 2 < through < rate * 2
+    assert bloom.passing(members, "m", whole).count() == 30_000
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # dealt by word instead
+    try:
+        assert bloom.passing(strangers, "k", whole).count() == round(through * 400_001)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert bloom.sized(10 ** 12, 0.01)[0] > 1 << 30
 
 
 def test_set_xor(spark):

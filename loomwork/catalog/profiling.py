@@ -12,28 +12,23 @@ from loomwork.operators import aggregates, filters, projections
 from loomwork.plans import inclusion, substrings, uniqueness
 
 SEVEN = ["region", "nation", "supplier", "customer", "part", "lineitem", "orders"]
-SMALL = ["region", "nation", "customer"]
-KEYS = {"region": ["r_regionkey"], "nation": ["n_nationkey", "n_regionkey"],
-        "customer": ["c_custkey", "c_nationkey"]}
 
 
-@query(f"SELECT value, attribute FROM ({cells_sql(SMALL)})")
+@query(f"""SELECT attribute, count(*) AS cells, count(DISTINCT value) AS distinct_values
+           FROM ({cells_sql(SEVEN)}) GROUP BY attribute""")
 def unpivot_cells(spark, d):
-    return projections.unpivot_cells(tables(spark, d, SMALL))
+    """All cells of all tables, counted, since engines write numbers differently."""
+    return projections.unpivot_cells(tables(spark, d, SEVEN)).groupBy("attribute").agg(
+        F.count("*").alias("cells"), F.countDistinct("value").alias("distinct_values"))
 
 
-def _key_tables(spark, d):
-    return {t: table(spark, d, t).select(*cols) for t, cols in KEYS.items()}
-
-
-_KEY_CELLS = cells_sql(KEYS, {c for cols in KEYS.values() for c in cols})
-
-
-@query(f"""SELECT value, string_agg(DISTINCT attribute, ',' ORDER BY attribute) AS attributes
-           FROM ({_KEY_CELLS}) GROUP BY value""")
+@query(f"""SELECT attributes, count(*) AS "values" FROM (
+             SELECT value, string_agg(DISTINCT attribute, ',' ORDER BY attribute) AS attributes
+             FROM ({cells_sql(SEVEN)}) GROUP BY value) GROUP BY attributes""")
 def value_attr_sets(spark, d):
-    found = aggregates.attribute_sets(projections.unpivot_cells(_key_tables(spark, d)))
-    return found.select("value", F.array_join("attributes", ",").alias("attributes"))
+    found = aggregates.attribute_sets(projections.unpivot_cells(tables(spark, d, SEVEN)))
+    return found.groupBy(F.array_join("attributes", ",").alias("attributes")).agg(
+        F.count("*").alias("values"))
 
 
 def _ind_sql(cells: str) -> str:
@@ -56,10 +51,10 @@ def inclusion_dependencies(spark, d):
     return inclusion.inclusion_report(tables(spark, d, SEVEN))
 
 
-@query(f"""SELECT dependent, referenced FROM ({_ind_sql(_KEY_CELLS)})""")
+@query(f"""SELECT dependent, referenced FROM ({_ind_sql(cells_sql(SEVEN))})""")
 def inclusion_by_sets(spark, d):
-    """The same result from sets of attribute sets, for few attributes."""
-    cells = projections.unpivot_cells(_key_tables(spark, d))
+    """The same result from the distinct attribute sets, whose number the schema bounds."""
+    cells = projections.unpivot_cells(tables(spark, d, SEVEN))
     attr_sets = aggregates.attribute_sets(cells).select("attributes").distinct()
     lists = attr_sets.select(F.explode("attributes").alias("dependent"), "attributes")
     candidates = aggregates.group_sets(

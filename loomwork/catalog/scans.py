@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.catalog.profiling import _ind_sql
-from loomwork.catalog.registry import cells_sql, query, table
+from loomwork.catalog.profiling import SEVEN, _ind_sql
+from loomwork.catalog.registry import COLUMNS, cells_sql, query, table
 from loomwork.operators import projections
 from loomwork.plans import inclusion, tree
 from loomwork.session import scratch_path
@@ -65,11 +69,11 @@ def csv_headerless(spark, d):
     return files.read_headerless(spark, path, ["ID", "Name", "Password", "Gene"])
 
 
-@query(_ind_sql(cells_sql(["region", "nation", "supplier"])))
+@query(_ind_sql(cells_sql(SEVEN)))
 def csv_inclusion(spark, d):
     """Several CSV files, types inferred, profiled for inclusion dependencies."""
     paths = {}
-    for name in ("region", "nation", "supplier"):
+    for name in SEVEN:
         paths[name] = scratch_path(spark, name)
         table(spark, d, name).write.options(sep=";", header="true").csv(paths[name])
     return inclusion.inclusion_report(files.read_many(spark, paths))
@@ -101,17 +105,25 @@ def parquet_scan(spark, d):
         "n_nationkey", "n_name", "n_regionkey", "r_name")
 
 
-@query("""SELECT CAST(label AS DOUBLE) AS label, COUNT(*) AS vectors FROM embeddings
-          GROUP BY label""")
+@query("""SELECT CAST(vec_id AS DOUBLE) AS label, CAST(unnest(range(len(embedding))) AS INTEGER)
+                 AS position, CAST(unnest(embedding) AS DOUBLE) AS value FROM embeddings""")
 def libsvm_scan(spark, d):
+    """All vectors, written with their number as label, and read back."""
     path = scratch_path(spark, "libsvm")
-    tree.labelled_vectors(table(spark, d, "embeddings"), "label", "embedding").write.format(
+    tree.labelled_vectors(table(spark, d, "embeddings"), "vec_id", "embedding").write.format(
         "libsvm").save(path)
-    return files.read_libsvm(spark, path, features=64).groupBy("label").agg(
-        F.count("features").alias("vectors"))
+    return files.read_libsvm(spark, path, features=64).select(
+        "label", F.posexplode(vector_to_array("features")).alias("position", "value"))
 
 
-@query("SELECT r_name AS value FROM region UNION ALL SELECT n_name FROM nation")
+@query(" UNION ALL ".join(
+    f"SELECT '{t}' AS source, {i} AS nr, count(DISTINCT {c}) AS distinct_values FROM {t}"
+    for t in SEVEN for i, c in enumerate(COLUMNS[t])))
 def single_column_tables(spark, d):
-    names = [projections.single_columns(table(spark, d, t))[1] for t in ("region", "nation")]
-    return names[0].toDF("value").unionAll(names[1].toDF("value"))
+    """Every column of every table as a table of its own."""
+    counted = [
+        column.toDF("v").agg(F.countDistinct("v").alias("distinct_values")).select(
+            F.lit(name).alias("source"), F.lit(i).alias("nr"), "distinct_values")
+        for name in SEVEN for i, column in enumerate(
+            projections.single_columns(table(spark, d, name).select(*COLUMNS[name])))]
+    return reduce(DataFrame.unionAll, counted)

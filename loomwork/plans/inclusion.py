@@ -121,18 +121,21 @@ def inclusion_report(tables: Mapping[str, DataFrame]) -> DataFrame:
 
 
 def attribute_overlap(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """``(dependent, referenced, shared_values)`` for columns that share a value."""
+    """``(dependent, referenced, shared_values)`` for columns that share a value.
+
+    Each distinct attribute set, with its weight, gives the pairs of its members; so
+    work follows the sets that occur, not the square of all columns.
+    """
     names = attribute_names(tables)
     words = _words(len(names))
     name_of = F.array(*[F.lit(a) for a in names])
-    zero = F.lit(0).cast("long")
-    shared = [
-        F.sum(F.when(_has(F.lit(r), words), F.col("weight")).otherwise(zero)).alias(f"r{r}")
-        for r in range(len(names))
-    ]
-    wide = _members(weighted_attribute_sets(tables), len(names), words).groupBy("dep").agg(*shared)
-    long = wide.select("dep", F.posexplode(F.array(*[f"r{r}" for r in range(len(names))]))
-                       .alias("ref", "shared_values"))
-    return long.where((F.col("shared_values") > 0) & (F.col("dep") != F.col("ref"))).select(
+    inside = F.filter(F.sequence(F.lit(0), F.lit(len(names) - 1)), lambda i: _has(i, words))
+    members = weighted_attribute_sets(tables).select(inside.alias("members"), "weight")
+    # the sets are few rows, their pairs are not
+    dealt = members.where(F.size("members") > 1).repartition(
+        int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), "members")
+    pairs = dealt.select(F.explode("members").alias("dep"), "members", "weight").select(
+        "dep", F.explode("members").alias("ref"), "weight").where("dep <> ref")
+    return pairs.groupBy("dep", "ref").agg(F.sum("weight").alias("shared_values")).select(
         F.element_at(name_of, F.col("dep") + 1).alias("dependent"),
         F.element_at(name_of, F.col("ref") + 1).alias("referenced"), "shared_values")

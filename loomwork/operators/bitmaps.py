@@ -1,8 +1,10 @@
-"""Bit sets over non-negative numbers, kept as rows of 4096-byte bitmaps.
+"""Bit sets over whole numbers, as runs of 64-bit words.
 
-``(bucket, bitmap)`` covers 32768 positions per bucket. Positions are shifted by
-one on the way in, since Spark numbers buckets from key 1 and would leave key 0
-alone in a bucket of its own.
+A row ``(word, n, bits)`` says that each of the ``n`` words from ``word`` on holds ``bits``.
+Scattered positions are single words, a range of any length is one run of full words with
+a word at either end, and words that are not there are empty. Words are combined by
+``bit_or`` and ``bit_and``, which Spark's hash aggregate does inside each task before
+anything moves. The rows of a set are disjoint.
 """
 
 from __future__ import annotations
@@ -11,80 +13,77 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-BUCKET_BITS = 32768
+from loomwork.operators.projections import numbered
 
+WORD = 64
+CHUNK_BITS = 20  # ranges are put together within so many positions, a power of two
 
-def _shifted(position: Column) -> Column:
-    return position.cast("long") + 1
 
+def word_of(position: Column) -> Column:
+    return F.shiftright(position.cast("long"), 6)
 
-def bucket_of(position: Column) -> Column:
-    return F.bitmap_bucket_number(_shifted(position))
 
+def _at(position: Column) -> Column:
+    return position.cast("long").bitwiseAND(F.lit(WORD - 1).cast("long")).cast("int")
 
-def bit_of(position: Column) -> Column:
-    return F.bitmap_bit_position(_shifted(position))
+
+def _left(value: int, by: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(value).cast("long"), by)
+
+
+def _words(bitmaps: DataFrame) -> DataFrame:
+    """The words one by one; a run is no longer than a chunk."""
+    last = F.col("word") + F.col("n") - 1
+    return bitmaps.withColumn("word", F.explode(F.sequence("word", last))).withColumn(
+        "n", F.lit(1).cast("long"))
 
 
 def bitmap_build(df: DataFrame, position: str, by: Sequence[str] = ()) -> DataFrame:
-    """The set of a column's values, as bitmaps per group and bucket."""
-    return (
-        df.where(F.col(position).isNotNull())
-        .groupBy(*by, bucket_of(F.col(position)).alias("bucket"))
-        .agg(F.bitmap_construct_agg(bit_of(F.col(position))).alias("bitmap"))
-    )
+    """The set of a column's values, one for each group."""
+    p = F.col(position)
+    return df.where(p.isNotNull()).groupBy(*by, word_of(p).alias("word")).agg(
+        F.bit_or(_left(1, _at(p))).alias("bits")).select(
+        *by, "word", F.lit(1).cast("long").alias("n"), "bits")
 
 
 def bitmap_union(bitmaps: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    return bitmaps.groupBy(*by, "bucket").agg(F.bitmap_or_agg("bitmap").alias("bitmap"))
+    return _words(bitmaps).groupBy(*by, "word").agg(F.bit_or("bits").alias("bits")).select(
+        *by, "word", F.lit(1).cast("long").alias("n"), "bits")
 
 
 def bitmap_common(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Intersection of two bit sets; a bucket one side lacks is empty."""
-    both = left.select("bucket", "bitmap").unionAll(right.select("bucket", "bitmap"))
-    return (
-        both.groupBy("bucket")
-        .agg(F.count(F.lit(1)).alias("sides"), F.bitmap_and_agg("bitmap").alias("bitmap"))
-        .where(F.col("sides") == 2)
-        .select("bucket", "bitmap")
-    )
+    """Intersection of two bit sets; a word one side lacks is empty."""
+    zero = F.lit(0).cast("long")
+    both = _words(left).select("word", "bits", zero.alias("other")).unionAll(
+        _words(right).select("word", zero.alias("bits"), F.col("bits").alias("other")))
+    common = F.bit_or("bits").bitwiseAND(F.bit_or("other"))
+    return both.groupBy("word").agg(common.alias("bits")).where("bits <> 0").select(
+        "word", F.lit(1).cast("long").alias("n"), "bits")
 
 
 def bitmap_cardinality(bitmaps: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    n = F.coalesce(F.sum(F.bitmap_count("bitmap")), F.lit(0))
+    n = F.coalesce(F.sum(F.bit_count("bits") * F.col("n")), F.lit(0))
     return bitmaps.groupBy(*by).agg(n.alias("cardinality"), (n == 0).alias("is_empty"))
 
 
 def bitmap_positions(bitmaps: DataFrame) -> DataFrame:
-    """The set positions again, as rows; at most 32768 per input row."""
-    byte = F.conv(F.hex(F.substring(F.col("bitmap"), F.col("i") + 1, F.lit(1))), 16, 10)
-    per_byte = (
-        bitmaps.select("bucket", "bitmap", F.explode(
-            F.sequence(F.lit(0), F.lit(BUCKET_BITS // 8 - 1))).alias("i"))
-        .select("bucket", "i", byte.cast("int").alias("byte"))
-        .where(F.col("byte") != 0)
-    )
-    bits = F.filter(F.sequence(F.lit(0), F.lit(7)), lambda b: F.getbit(F.col("byte"), b) == 1)
-    return per_byte.select("bucket", "i", F.explode(bits).alias("bit")).select(
-        ((F.col("bucket") - 1) * BUCKET_BITS + F.col("i") * 8 + F.col("bit")).alias("position"))
+    """The set positions again, as rows; at most 64 per word."""
+    bits = F.filter(F.sequence(F.lit(0), F.lit(WORD - 1)), lambda b: F.getbit("bits", b) == 1)
+    return _words(bitmaps).select("word", F.explode(bits).alias("bit")).select(
+        (F.col("word") * WORD + F.col("bit")).alias("position"))
 
 
 def bitmap_contains(df: DataFrame, column: str, bitmaps: DataFrame) -> DataFrame:
     """``df`` with a boolean ``member``: is the value in the bit set.
 
-    Joins on the bucket, of which there is one row each, and reads one bit.
+    Joins on the word, of which there is one row each, and reads one bit.
     """
-    bit = bit_of(F.col(column))
-    byte = F.conv(F.hex(F.substring(
-        F.col("bitmap"), (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    member = F.coalesce(F.getbit(byte, (bit % 8).cast("int")) == 1, F.lit(False))
-    return (
-        df.withColumn("bucket", bucket_of(F.col(column)))
-        .join(bitmaps.select("bucket", "bitmap"), "bucket", "left")
-        .withColumn("member", member)
-        .drop("bucket", "bitmap")
-    )
+    member = F.coalesce(F.getbit("__bits", _at(F.col(column))) == 1, F.lit(False))
+    words = _words(bitmaps).select(F.col("word").alias("__word"), F.col("bits").alias("__bits"))
+    return df.join(words, word_of(F.col(column)) == F.col("__word"), "left").withColumn(
+        "member", member).drop("__word", "__bits")
 
 
 def logical_length(df: DataFrame, position: str) -> DataFrame:
@@ -93,40 +92,49 @@ def logical_length(df: DataFrame, position: str) -> DataFrame:
                   .alias("length"))
 
 
-def _range_bitmap(first: Column, last: Column) -> Column:
-    """A bucket's bitmap with the bits ``first`` to ``last`` set."""
-    a, b = F.floor(first / 8).cast("int"), F.floor(last / 8).cast("int")
-    from_low = F.lit(255).bitwiseAND(F.call_function("shiftleft", F.lit(255), first % 8))
-    to_high = F.call_function("shiftright", F.lit(255), 7 - last % 8)
-
-    def byte(value: Column) -> Column:
-        return F.lpad(F.hex(value), 2, "0")
+def _merged(ranges: DataFrame, low: str, high: str, by: Sequence[str]) -> DataFrame:
+    """``__chunk, lo, hi``: the ranges of a group put together, cut at chunk borders.
 
-    def run(text: str, times: Column) -> Column:
-        return F.repeat(F.lit(text), times)
-
-    inner = F.when(a == b, byte(from_low.bitwiseAND(to_high))).otherwise(
-        F.concat(byte(from_low), run("FF", b - a - 1), byte(to_high)))
-    return F.unhex(F.concat(run("00", a), inner, run("00", F.lit(BUCKET_BITS // 8 - 1) - b)))
+    Of ranges with the same start the longest is kept inside each task, so a chunk
+    has no more rows than positions, however many ranges meet there.
+    """
+    lo, hi = F.col(low).cast("long"), F.col(high).cast("long")
+    spans = ranges.where(lo < hi).select(
+        *by, lo.alias("__lo"), hi.alias("__hi"), F.shiftright(lo, CHUNK_BITS).alias("__first"),
+        F.shiftright(hi - 1, CHUNK_BITS).alias("__last"))
+    start = F.call_function("shiftleft", F.col("__chunk"), F.lit(CHUNK_BITS))
+    pieces = numbered(spans, "__first", "__last", "__chunk", [*by, "__lo"]).select(
+        *by, "__chunk", F.greatest(F.col("__lo"), start).alias("lo"),
+        F.least(F.col("__hi"), start + (1 << CHUNK_BITS)).alias("hi"))
+    longest = pieces.groupBy(*by, "__chunk", "lo").agg(F.max("hi").alias("hi"))
+    line = Window.partitionBy(*by, "__chunk").orderBy("lo")
+    reach = F.max("hi").over(line.rowsBetween(Window.unboundedPreceding, -1))
+    apart = longest.withColumn("__new", (reach.isNull() | (F.col("lo") > reach)).cast("int"))
+    islands = apart.withColumn("__island", F.sum("__new").over(line))
+    return islands.groupBy(*by, "__chunk", "__island").agg(
+        F.min("lo").alias("lo"), F.max("hi").alias("hi"))
 
 
 def bitmap_from_ranges(ranges: DataFrame, low: str, high: str,
                        by: Sequence[str] = ()) -> DataFrame:
     """The set of all positions in the half-open ranges ``[low, high)``.
 
-    A range is cut at bucket borders and each piece becomes a bitmap at once, so
-    the work goes by ranges and buckets and not by positions. Overlapping pieces
-    of a bucket are combined inside each task before the shuffle.
+    Overlapping ranges are put together first; what is left is at most three rows
+    for each of them and chunk: a run of full words and the words at its ends.
     """
-    lo, hi = F.col(low).cast("long"), F.col(high).cast("long")
-    size = F.lit(BUCKET_BITS).cast("long")
-    cut = ranges.where(lo < hi).select(
-        *by, lo.alias("__lo"), hi.alias("__hi"),
-        F.explode(F.sequence(F.floor(lo / size), F.floor((hi - 1) / size))).alias("__b"))
-    start = F.col("__b") * size
-    pieces = cut.select(
-        *by, (F.col("__b") + 1).alias("bucket"),
-        (F.greatest(F.col("__lo"), start) - start).cast("int").alias("__first"),
-        (F.least(F.col("__hi"), start + size) - 1 - start).cast("int").alias("__last"))
-    return bitmap_union(pieces.select(
-        *by, "bucket", _range_bitmap(F.col("__first"), F.col("__last")).alias("bitmap")), by)
+    first, last = word_of(F.col("lo")), word_of(F.col("hi") - 1)
+    from_low = _left(-1, _at(F.col("lo")))
+    to_high = F.call_function("shiftrightunsigned", F.lit(-1).cast("long"),
+                              F.lit(WORD - 1) - _at(F.col("hi") - 1))
+    one = F.lit(1).cast("long")
+
+    def run(word: Column, n: Column, bits: Column) -> Column:
+        return F.struct(word.alias("word"), n.alias("n"), bits.alias("bits"))
+
+    several = F.array(run(first, one, from_low), run(first + 1, last - first - 1, F.lit(-1).cast("long")),
+                      run(last, one, to_high))
+    single = F.array(run(first, one, from_low.bitwiseAND(to_high)))
+    rows = _merged(ranges, low, high, by).select(*by, F.explode(F.when(
+        first == last, single).otherwise(several)).alias("run")).select(*by, "run.*").where("n > 0")
+    # two ranges may end and begin in the same word
+    return rows.groupBy(*by, "word", "n").agg(F.bit_or("bits").alias("bits"))

@@ -60,3 +60,21 @@ def tail_to_array(df: DataFrame, heads: Mapping[str, Column | str],
 def fill_nulls(df: DataFrame, value, columns: Sequence[str]) -> DataFrame:
     """Fill nulls of the named columns; columns of another type stay as they are."""
     return df.na.fill(value, subset=list(columns))
+
+
+def numbered(ranges: DataFrame, first: str, last: str, name: str,
+             deal: Sequence[str] = ()) -> DataFrame:
+    """A row per whole number ``name`` from column ``first`` to column ``last``.
+
+    In two levels, so that no row or task holds a whole range: as many blocks as a
+    block has numbers, dealt out by the ``deal`` columns and block, then the numbers of
+    each block.
+    """
+    tasks = int(ranges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    width, end = F.col("__w"), F.col(last)
+    blocks = (
+        ranges.withColumn("__w", F.ceil(F.sqrt(end - F.col(first) + 1)).cast("long"))
+        .withColumn("__block", F.explode(F.sequence(F.col(first), end, width)))
+        .repartition(tasks, *deal, "__block"))
+    return blocks.withColumn(name, F.explode(F.sequence(
+        "__block", F.least(F.col("__block") + width - 1, end)))).drop("__w", "__block")

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomwork.operators.projections import numbered
+
 SEGMENT = 1 << 20
 
 
@@ -25,28 +27,12 @@ def equal_segments(requests: DataFrame, parts: int, request: str = "request",
     ranges = requests.where(lo <= hi).select(
         request, lo.alias("__s"), hi.alias("__e"), length.alias("__n"),
         F.lit(0).cast("long").alias("__first"), F.lit(parts - 1).cast("long").alias("__last"))
-    return _numbered(ranges, request).select(
+    return numbered(ranges, "__first", "__last", "segment", [request]).select(
         request, seg.cast("int").alias("segment"), (F.col("__s") + seg * F.col("__n")).alias("lo"),
         F.when(seg == parts - 1, F.col("__e"))
         .otherwise(F.col("__s") + (seg + 1) * F.col("__n") - 1).alias("hi"))
 
 
-def _numbered(ranges: DataFrame, request: str) -> DataFrame:
-    """A row per ``segment`` from ``__first`` to ``__last``.
-
-    In two levels, so that no row or task holds a whole range: as many blocks as a
-    block has segments, dealt out, then the segments of each block.
-    """
-    tasks = int(ranges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    width, last = F.col("__w"), F.col("__last")
-    blocks = (
-        ranges.withColumn("__w", F.ceil(F.sqrt(last - F.col("__first") + 1)).cast("long"))
-        .withColumn("__block", F.explode(F.sequence(F.col("__first"), last, width)))
-        .repartition(tasks, request, "__block"))
-    return blocks.withColumn("segment", F.explode(F.sequence(
-        "__block", F.least(F.col("__block") + width - 1, last))))
-
-
 def fixed_segments(requests: DataFrame, size: int = SEGMENT, request: str = "request",
                    start: str = "range_start", end: str = "range_end") -> DataFrame:
     """Each range cut into segments of ``size`` numbers, the last one shorter."""
@@ -54,7 +40,7 @@ def fixed_segments(requests: DataFrame, size: int = SEGMENT, request: str = "req
     ranges = requests.where(lo <= hi).select(
         request, lo.alias("__s"), hi.alias("__e"), F.lit(0).cast("long").alias("__first"),
         F.call_function("div", hi - lo, F.lit(size).cast("long")).alias("__last"))
-    return _numbered(ranges, request).select(
+    return numbered(ranges, "__first", "__last", "segment", [request]).select(
         request, "segment", (F.col("__s") + F.col("segment") * size).alias("lo"),
         F.least(F.col("__e"), F.col("__s") + (F.col("segment") + 1) * size - 1).alias("hi"))
 
@@ -68,7 +54,7 @@ def grid_segments(requests: DataFrame, size: int = SEGMENT, request: str = "requ
         cell = lambda n: F.shiftright(n, size.bit_length() - 1)
     ranges = requests.where(lo <= hi).select(
         request, lo.alias("__s"), hi.alias("__e"), cell(lo).alias("__first"), cell(hi).alias("__last"))
-    return _numbered(ranges, request).select(
+    return numbered(ranges, "__first", "__last", "segment", [request]).select(
         request, "segment", F.greatest(F.col("__s"), F.col("segment") * size).alias("lo"),
         F.least(F.col("__e"), (F.col("segment") + 1) * size - 1).alias("hi"))
 

@@ -5,6 +5,8 @@ import random
 import time
 
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from loomwork import functions as fn
@@ -163,6 +165,45 @@ def test_bitmaps(spark):
     assert bitmaps.logical_length(none, "k").first()["length"] == 0
 
 
+def test_bitmaps_combine_by_hash(spark):
+    keys = inline.number_range(spark, 1, 1000, name="k").withColumn("g", F.col("k") % 3)
+    built = bitmaps.bitmap_build(keys, "k", ["g"])
+    made = bitmaps.bitmap_from_ranges(keys.withColumn("e", F.col("k") + 70), "k", "e", ["g"])
+    for plan in (bitmaps.bitmap_cardinality(built, ["g"]), bitmaps.bitmap_union(built),
+                 bitmaps.bitmap_common(built, built), bitmaps.bitmap_cardinality(made, ["g"])):
+        assert "SortAggregate" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sparse_and_ranged_bitmaps_stay_small(spark, tmp_path):
+    sparse = inline.number_range(spark, 0, 999_999, name="k").select(
+        (F.col("k") * 1_000_003 + F.pmod(F.xxhash64("k"), F.lit(999_999))).alias("k"))
+    bits = bitmaps.bitmap_build(sparse, "k")
+    bits.sortWithinPartitions("word").write.parquet(str(tmp_path / "bits"))
+    assert sum(f.stat().st_size for f in (tmp_path / "bits").glob("*.parquet")) < 10_000_000
+    assert bitmaps.bitmap_cardinality(spark.read.parquet(str(tmp_path / "bits"))).first()[
+        "cardinality"] == 1_000_000
+    # overlapping ranges, and many of them at one place
+    ranges = [(0, 50_000_000), (49_999_999, 80_000_001), (100_000_000, 100_000_001)] + [
+        (70_000_000 + i % 100, 90_000_000 - i) for i in range(2000)]
+    made = bitmaps.bitmap_from_ranges(
+        spark.createDataFrame(ranges, "lo long, hi long"), "lo", "hi")
+    assert made.count() < 3 * 100
+    assert bitmaps.bitmap_cardinality(made).first()["cardinality"] == 90_000_001
+
+
+@settings(max_examples=5, deadline=None,
+          suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.integers(0, 1), st.integers(-200, 400), st.integers(0, 200)), max_size=12))
+def test_ranges_random(spark, spans):
+    df = spark.createDataFrame([(g, a, a + n) for g, a, n in spans], "g int, lo long, hi long")
+    made = bitmaps.bitmap_from_ranges(df, "lo", "hi", ["g"])
+    want = {(g, p) for g, a, n in spans for p in range(a, a + n)}
+    got = {r["g"]: r["cardinality"] for r in bitmaps.bitmap_cardinality(made, ["g"]).collect()}
+    assert got == {g: sum(x == g for x, _ in want) for g in {x for x, _ in want}}
+    assert {r["position"] for r in bitmaps.bitmap_positions(bitmaps.bitmap_union(made)).collect()
+            } == {p for _, p in want}
+
+
 def test_pair_lcs_long(spark):
     rng = random.Random(3)
     shared = "".join(rng.choice("abé🙂") for _ in range(700))

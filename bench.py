@@ -22,13 +22,16 @@ from loomwork.session import build_session  # noqa: E402
 HEADLINE = [
     # whole-dataset jobs
     "inclusion_dependencies", "attr_overlap", "unique_combinations",
-    "unique_combinations_orders", "longest_shared_substring",
+    "unique_combinations_orders", "unique_combinations_lineitem", "lattice_verdicts",
+    "longest_shared_substring", "longest_shared_substring_text",
     "primes_in_range", "prime_keys", "hint_elimination", "record_resolution", "lww_merge",
     # operators
     "scan_filter_contains", "sql_filter_topk", "broadcast_semi", "top_row_per_group",
     "top_row_window", "conditional_counts", "theta_self_join", "set_algebra", "digest_join",
     "bitmap_cardinality", "bloom_semi_join", "pair_lcs", "value_attr_sets",
-    "csv_dialect", "lww_stream", "tree_accuracy",
+    "bitmap_common", "bitmap_ranges", "reduce_column",
+    "csv_dialect", "csv_multiline", "csv_inclusion", "lww_stream", "lww_write_stream",
+    "tree_accuracy",
 ]
 
 

@@ -8,7 +8,7 @@ from loomwork import functions as fn
 from loomwork.catalog.registry import query, table
 from loomwork.operators import aggregates, filters, joins, ordering, projections, sets
 from loomwork.session import scratch_path
-from loomwork.sources import sinks
+from loomwork.sources import inline, sinks
 
 SEGMENTS = ["BUILDING", "MACHINERY", "HOUSEHOLD"]
 SEGMENTS_SQL = ", ".join(f"'{s}'" for s in SEGMENTS)
@@ -293,3 +293,34 @@ def parts_complete(spark, d):
         F.col("l_orderkey").alias("id"),
         F.when(F.col("l_quantity") > 5, F.col("l_returnflag")).alias("value"))
     return aggregates.all_parts_complete(parts, "id", "value")
+
+
+_URGENCY = [("1-URGENT", 4), ("2-HIGH", 3), ("3-MEDIUM", 2), ("none of these", 9)]
+
+
+@query("""SELECT o_orderkey, urgency FROM orders JOIN (VALUES
+            """ + ", ".join(f"('{p}', {u})" for p, u in _URGENCY) + """) v(priority, urgency)
+          ON o_orderpriority = priority""")
+def inline_table_join(spark, d):
+    """All orders against a table written in the program."""
+    scale = inline.from_rows(spark, _URGENCY, "o_orderpriority string, urgency int")
+    return table(spark, d, "orders").join(scale, "o_orderpriority").select("o_orderkey", "urgency")
+
+
+@query("""SELECT k AS value FROM (SELECT unnest(range(lo, hi + 1)) AS k FROM (
+            SELECT min(o_custkey) AS lo, max(o_custkey) AS hi FROM orders))
+          WHERE k NOT IN (SELECT o_custkey FROM orders)""")
+def missing_keys(spark, d):
+    """Whole numbers between the first and last customer of all orders that have none."""
+    orders = table(spark, d, "orders")
+    ends = orders.agg(F.min("o_custkey").alias("lo"), F.max("o_custkey").alias("hi")).first()
+    every = inline.number_range(spark, ends.lo, ends.hi)
+    return every.join(orders.select(F.col("o_custkey").alias("value")), "value", "left_anti")
+
+
+@query("""SELECT o_orderkey, o_orderdate < current_date AS before_today,
+                 o_orderdate < current_localtimestamp() AS before_now FROM orders""")
+def before_now(spark, d):
+    return table(spark, d, "orders").select(
+        "o_orderkey", (F.col("o_orderdate") < F.current_date()).alias("before_today"),
+        (F.col("o_orderdate") < F.localtimestamp()).alias("before_now"))

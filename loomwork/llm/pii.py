@@ -209,21 +209,25 @@ def estimate(patterns: list[tuple[str, str, int]], rounds: int = 50) -> dict[tup
     return out
 
 
-def train(features: list[list[int]], target: list[float], steps: int = 300) -> np.ndarray:
-    """Logistic regression on hashed features with soft targets; the last weight is the bias."""
+def train(features: list[list[int]], target: list[float], counts: list[int],
+          steps: int = 300) -> np.ndarray:
+    """Logistic regression on hashed features with soft targets; the last weight is the bias.
+
+    A row counts as often as ``counts`` says.
+    """
     weights = np.zeros(DIMENSIONS + 1)
     if not features:
         return weights
     row = np.repeat(np.arange(len(features)), [len(f) for f in features])
     col = np.fromiter(itertools.chain.from_iterable(features), np.int64, len(row))
-    goal = np.array(target)
-    scale = 1 / (1 + np.bincount(col, minlength=DIMENSIONS))
+    goal, often = np.array(target), np.array(counts, np.float64)
+    scale = 1 / (1 + np.bincount(col, often[row], DIMENSIONS))
     for _ in range(steps):
         z = np.bincount(row, weights[col], len(goal)) + weights[-1]
-        error = goal - 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        error = often * (goal - 1 / (1 + np.exp(-np.clip(z, -30, 30))))
         step = np.bincount(col, error[row], DIMENSIONS)
         weights[:-1] += 0.5 * (step * scale - 1e-3 * weights[:-1])
-        weights[-1] += 0.5 * error.mean()
+        weights[-1] += 0.5 * error.sum() / often.sum()
     return weights
 
 
@@ -237,8 +241,9 @@ def find_personal_data(docs: DataFrame, keep: list[str] | None = None,
     likelier than not. Five labelers vote on every candidate: its own format check,
     a gazetteer, the words before it, its borders, and its variety. Their reliability
     comes from expectation-maximisation over the counts of vote patterns of all
-    documents (at most 243 per kind), the classifier from about ``training_spans``
-    candidates at most, those with the smallest digests.
+    documents (at most 243 per kind), the classifier from at most ``training_spans``
+    different candidates, those with the smallest digests, each counted as often as
+    it occurs: a line in all documents is one of them.
 
     ``docs`` needs ``text``. Returns every row with its columns (or those in ``keep``)
     and ``spans``: an array of ``kind, start, end, base`` in code points, end
@@ -258,12 +263,11 @@ def find_personal_data(docs: DataFrame, keep: list[str] | None = None,
     spans = found.select(F.explode("_spans").alias("s")).select("s.*")
     patterns = [tuple(r) for r in spans.groupBy("kind", "votes").count().collect()]
     chances = estimate(patterns)
-    total = sum(n for _, _, n in patterns)
-    share = min(1.0, training_spans / max(1, total))
-    draw = F.pmod(F.xxhash64("features", "kind", "start"), F.lit(1 << 20)) < share * (1 << 20)
-    sample = sorted(tuple(r) for r in spans.where(draw).select(
-        "features", "kind", "votes").collect())
-    weights = train([r[0] for r in sample], [chances[r[1], r[2]] for r in sample])
+    sample = spans.groupBy("features", "kind", "votes").count().orderBy(
+        F.xxhash64("features", "kind", "votes"), "features", "kind", "votes").limit(
+        training_spans).collect()
+    weights = train([r.features for r in sample], [chances[r.kind, r.votes] for r in sample],
+                    [r["count"] for r in sample])
     shared = spark.sparkContext.broadcast(weights)
 
     @F.pandas_udf("array<boolean>")

@@ -87,6 +87,21 @@ def test_personal_data_edges(spark):
     assert p["ip", "+++++"] > 0.9 > 0.1 > p["ip", "-----"]
 
 
+def test_equal_spans_are_one_row_of_the_sample(spark, monkeypatch):
+    """A span in very many documents neither floods the driver nor leaves nothing to learn from."""
+    texts = spark.range(60_000).select(
+        F.col("id").alias("doc_id"), F.concat(F.lit("write to ip 10.1.2.3 at once "), F.when(
+            F.col("id") % 1000 == 0, F.concat(F.lit("card 4111 1111 1111 1111 number "), "id"))
+        .otherwise(F.lit(""))).alias("text"))
+    taken = []
+    plain = pii.train
+    monkeypatch.setattr(pii, "train", lambda f, t, n: taken.append((len(f), sum(n))) or plain(f, t, n))
+    found = pii.find_personal_data(texts, training_spans=50)
+    assert found.where(F.size("spans") < 1).count() == 0
+    (rows, spans), = taken
+    assert 1 <= rows <= 50 and spans >= 60_000
+
+
 # --- language ------------------------------------------------------------------------
 
 def test_language(spark, sf):
@@ -97,6 +112,13 @@ def test_language(spark, sf):
     assert got.where("score < 0 OR score > 1").count() == 0
 
 
+def test_language_keeps_columns(spark):
+    rows = docs(spark, EDGE).withColumnRenamed("hits", "_found").withColumnRenamed("_row", "a.b")
+    got = langid.identify(rows, langid.fit(rows))
+    assert got.columns == [*rows.columns, "lang_pred", "score", "known_share"]
+    assert {r["_found"] for r in got.collect()} == {"clash"}
+
+
 def test_language_edges(spark):
     model = langid.fit(docs(spark, [(i, "the cat and the dog " * 3, "en", "a") for i in range(9)]
                             + [(i, "der hund und die katze " * 3, "de", "a") for i in range(9)]))

@@ -210,8 +210,9 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         return pd.DataFrame(dict(zip(("lang_pred", "score", "known_share"), named)))
 
     bound_batches(docs.sparkSession)
-    found = docs.withColumn("_found", predict("text"))
-    return found.select(*[F.col(f"`{c}`") for c in docs.columns], "_found.*")
+    columns = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.select(columns.alias("row"), predict("text").alias("found")).select(
+        "row.*", "found.*")
 
 
 def held_out(doc_id) -> F.Column:

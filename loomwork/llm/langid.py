@@ -139,7 +139,8 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for _, part in _groups(own):
                 found, n = np.unique(grams(part)[0], return_counts=True)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(found)), pa.array(found.view(np.int64)), pa.array(n)],
+                    [pa.array([lang] * len(found), pa.string()), pa.array(found.view(np.int64)),
+                     pa.array(n.astype(np.int64))],
                     ["lang", "gram", "n"])
 
 

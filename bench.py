@@ -30,7 +30,7 @@ HEADLINE = [
     "top_row_window", "conditional_counts", "theta_self_join", "set_algebra", "digest_join",
     "bitmap_cardinality", "bloom_semi_join", "pair_lcs", "value_attr_sets",
     "bitmap_common", "bitmap_ranges", "reduce_column",
-    "csv_dialect", "csv_multiline", "csv_inclusion", "lww_stream", "lww_write_stream",
+    "csv_dialect", "csv_multiline", "csv_inclusion", "lww_stream",
     "tree_accuracy",
 ]
 

@@ -263,9 +263,12 @@ def find_personal_data(docs: DataFrame, keep: list[str] | None = None,
     spans = found.select(F.explode("_spans").alias("s")).select("s.*")
     patterns = [tuple(r) for r in spans.groupBy("kind", "votes").count().collect()]
     chances = estimate(patterns)
-    sample = spans.groupBy("features", "kind", "votes").count().orderBy(
-        F.xxhash64("features", "kind", "votes"), "features", "kind", "votes").limit(
-        training_spans).collect()
+    different = materialize(spans.groupBy("features", "kind", "votes").count(), "candidates")
+    # those below a digest that leaves about twice as many as wanted, so that tasks send few
+    share = min(1.0, 2 * training_spans / max(1, different.count()))
+    digest = F.xxhash64("features", "kind", "votes")
+    sample = different.where(digest <= int(share * (2 ** 64 - 1)) - 2 ** 63 if share < 1 else F.lit(
+        True)).orderBy(digest, "features", "kind", "votes").limit(training_spans).collect()
     weights = train([r.features for r in sample], [chances[r.kind, r.votes] for r in sample],
                     [r["count"] for r in sample])
     shared = spark.sparkContext.broadcast(weights)

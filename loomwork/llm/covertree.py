@@ -17,8 +17,13 @@ from loomwork.llm.steps import materialize
 SAMPLE = 4096  # vectors the cells' centres are chosen from
 LEAST_BLOCKS = 16
 BLOCK_BYTES = 4 << 20  # of vectors in one block
+ROOTS = 1024  # blocks of one part that meet all others by their roots
+MOST_TASKS = 1 << 16  # the pairs of blocks are dealt over
 TILE = 1 << 20  # pairs of vectors compared at once
-FEW = 20  # node pairs are walked one by one if fewer than one in so many is left
+FEW = 20  # a level prunes if it leaves at most one in so many node pairs
+LOOK = 64  # rows of a matrix of node pairs that tell whether its level prunes
+NARROW = 1e-6  # the least radius a node is split at
+MATRIX = 1024  # pairs of children from which on they are tested as a matrix
 SLACK = 1e-4  # bounds and first looks are in single precision; closer ones are summed in double
 
 
@@ -42,7 +47,9 @@ class Tree:
             todo = [(0, 1.0)]
             while todo:
                 node, radius = todo.pop()
-                if self.end[node] - self.begin[node] > 1 and self.radius[node] > 0:
+                # below that, rounding tells points no longer apart: they stay one leaf
+                if self.end[node] - self.begin[node] > 1 and self.radius[node] > 0 \
+                        and radius > NARROW:
                     todo += [(c, radius / 2) for c in self._split(node, radius)]
         self._finish()
 
@@ -50,7 +57,11 @@ class Tree:
         self.centres = self.points[self.centre]
         self.rough, self.rough_centres = (a.astype(np.float32) for a in (self.points, self.centres))
         self.radii = np.array(self.radius)
-        self.sizes = np.array(self.end) - np.array(self.begin)
+        self.begin, self.end = np.array(self.begin, np.int64), np.array(self.end, np.int64)
+        self.sizes = self.end - self.begin
+        # the children of a node were added one after another
+        self.kids = np.array([len(k) for k in self.children], np.int64)
+        self.first_kid = np.array([k[0] if len(k) else 0 for k in self.children], np.int64)
 
     def _add(self, centre: int, begin: int, end: int) -> int:
         radius = 0.0
@@ -100,19 +111,37 @@ class Tree:
         return tree
 
 
-def dual(x: Tree, y: Tree, w_x: np.ndarray, w_y: np.ndarray, least: float):
+def _below(tree: Tree, nodes: np.ndarray) -> np.ndarray:
+    """The nodes with each one that has children replaced by them."""
+    lone = tree.kids[nodes] == 0
+    times = np.where(lone, 1, tree.kids[nodes])
+    first = np.where(lone, nodes, tree.first_kid[nodes])
+    ends = np.cumsum(times)
+    return np.repeat(first, times) + np.arange(times.sum()) - np.repeat(ends - times, times)
+
+
+def dual(x: Tree, y: Tree, w_x: np.ndarray, w_y: np.ndarray, least: float,
+         counts: dict[str, int] | None = None):
     """Links between the points of two trees with cosine ``least`` or more.
 
     Node pairs further apart than the threshold distance and both covering radii
-    are pruned; node pairs as close, radii included, are linked whole; other pairs
-    are split, or compared in full where bounds prune less than 19 in 20 of the
-    pairs of their children, as among random directions. ``y`` is ``x``: all pairs within the tree, once. Returns the weight
-    linked to each point on both sides, and links that span the same components.
+    are pruned; node pairs as close, radii included, are linked whole; of the rest
+    the children meet. Many children on both sides are tested as a matrix, few ones
+    of many node pairs as one list. Where the bounds of a matrix leave more than one
+    in twenty pairs, its loose nodes give way to their children, level by level; only
+    nodes much narrower than the threshold that still do not come apart are compared
+    point by point. ``y`` is ``x``: all pairs within the tree, once.
+
+    Returns the weight linked to each point on both sides, and links that span the
+    same components. ``counts`` receives the number of point pairs ``pruned`` by
+    bounds, linked ``whole`` and ``compared``.
     """
     same = x is y
     reach = float(np.sqrt(max(0.0, 2 - 2 * least)))
     n_x, n_y = np.zeros(len(x.points), np.int64), np.zeros(len(y.points), np.int64)
     edges: list[tuple[int, int]] = []
+    counts = {} if counts is None else counts
+    counts.update({k: counts.get(k, 0) for k in ("pruned", "whole", "compared")})
     if not len(x.points) or not len(y.points):
         return n_x, n_y, edges
     # one forest over the points of both sides
@@ -131,37 +160,49 @@ def dual(x: Tree, y: Tree, w_x: np.ndarray, w_y: np.ndarray, least: float):
             parent[a] = b
             edges.append((i, j))
 
+    def link(us: np.ndarray, vs: np.ndarray, both: bool) -> None:
+        """Count linked points; ``both``: a pair is listed once and counts on both sides."""
+        n_x[:] += np.bincount(us, w_y[vs], len(n_x)).astype(np.int64)
+        if both:
+            n_y[:] += np.bincount(vs, w_x[us], len(n_y)).astype(np.int64)
+        # one hit of every point joins most of them; the rest is looked up
+        for k in {*np.unique(us, return_index=True)[1].tolist(),
+                  *np.unique(vs, return_index=True)[1].tolist()}:
+            span(int(us[k]), int(vs[k]))
+        top, place = np.unique(us, return_inverse=True)
+        low, spot = np.unique(vs, return_inverse=True)
+        roots = np.array([root(int(v)) for v in top])[place]
+        others = np.array([root(shift + int(v)) for v in low])[spot]
+        for k in np.flatnonzero(roots != others).tolist():
+            span(int(us[k]), int(vs[k]))
+
+    def exact(us: np.ndarray, vs: np.ndarray, cos: np.ndarray, both: bool) -> None:
+        """Link the point pairs whose rough cosine holds; close ones are summed in double."""
+        us, vs, cos = (v[cos >= least - SLACK] for v in (us, vs, cos))
+        near = np.flatnonzero(cos < least + SLACK)
+        if len(near):
+            gone = near[(x.points[us[near]] * y.points[vs[near]]).sum(1) < least]
+            us, vs = np.delete(us, gone), np.delete(vs, gone)
+        if len(us):
+            link(us, vs, both)
+
     def compare(p: np.ndarray, q: np.ndarray, own: bool) -> None:
+        """All pairs of two lists of points; ``own``: of one list, seen from each side."""
+        counts["compared"] += len(p) * (len(p) - 1) // 2 if own else len(p) * len(q)
         rows = max(1, TILE // len(q))
         for k in range(0, len(p), rows):
             part = p[k:k + rows]
-            cos = x.rough[part] @ y.rough[q].T
-            i, j = np.nonzero(cos >= least - SLACK)
+            cos = (x.rough[part] @ y.rough[q].T).ravel()
+            at = np.flatnonzero(cos >= np.float32(least - SLACK))
+            us, vs = part[at // len(q)], q[at % len(q)]
             if own:
-                i, j = i[part[i] != q[j]], j[part[i] != q[j]]
-            near = np.flatnonzero(cos[i, j] < least + SLACK)  # these are summed the plain way
-            if len(near):
-                sums = (x.points[part[i[near]]] * y.points[q[j[near]]]).sum(1)
-                gone = near[sums < least]
-                i, j = np.delete(i, gone), np.delete(j, gone)
-            if not len(i):
-                continue
-            us, vs = part[i], q[j]
-            n_x[:] += np.bincount(us, w_y[vs], len(n_x)).astype(np.int64)
-            if not own:
-                n_y[:] += np.bincount(vs, w_x[us], len(n_y)).astype(np.int64)
-            # one hit of every point joins most of them; the rest is looked up
-            for k in {*np.unique(us, return_index=True)[1].tolist(),
-                      *np.unique(vs, return_index=True)[1].tolist()}:
-                span(int(us[k]), int(vs[k]))
-            top, place = np.unique(us, return_inverse=True)
-            low, spot = np.unique(vs, return_inverse=True)
-            roots = np.array([root(int(v)) for v in top])[place]
-            others = np.array([root(shift + int(v)) for v in low])[spot]
-            for k in np.flatnonzero(roots != others).tolist():
-                span(int(us[k]), int(vs[k]))
-
-    def whole(p: np.ndarray, q: np.ndarray, own: bool) -> None:
+                at, us, vs = (v[us != vs] for v in (at, us, vs))
+            exact(us, vs, cos[at], not own)
+
+    def whole(u: int, v: int) -> None:
+        own = same and u == v
+        p, q = x.order[x.begin[u]:x.end[u]], y.order[y.begin[v]:y.end[v]]
+        counts["whole"] += len(p) * (len(p) - 1) // 2 if own else len(p) * len(q)
         if own:
             n_x[p] += w_x[p].sum() - w_x[p]
         else:
@@ -173,37 +214,107 @@ def dual(x: Tree, y: Tree, w_x: np.ndarray, w_y: np.ndarray, least: float):
         for j in q if not own else ():
             span(int(p[0]), int(j))
 
-    todo = [(0, 0)]
+    def kept(us: np.ndarray, vs: np.ndarray, cos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What a list of node pairs leaves: pruned, whole and single pairs are done with."""
+        radii = x.radii[us] + y.radii[vs]
+        mine = same & (us == vs)
+        bound, inside = reach + SLACK + radii, reach - SLACK - radii
+        cos = np.where(mine, 1.0, cos)
+        far = cos < 1 - bound * bound / 2 - SLACK
+        counts["pruned"] += int((x.sizes[us[far]] * y.sizes[vs[far]]).sum())
+        done = far | (mine & (x.sizes[us] == 1))
+        single = ~done & (x.sizes[us] == 1) & (y.sizes[vs] == 1)
+        p, q = x.order[x.begin[us[single]]], y.order[y.begin[vs[single]]]
+        counts["compared"] += len(p)
+        exact(p, q, cos[single], True)
+        done |= single
+        close = ~done & (inside > 0) & (cos >= 1 - np.square(np.maximum(inside, 0)) / 2 + SLACK)
+        close |= ~done & mine & (inside > 0)
+        for u, v in zip(us[close].tolist(), vs[close].tolist()):
+            whole(u, v)
+        done |= close
+        stuck = ~done & (x.kids[us] == 0) & (y.kids[vs] == 0)  # points as close as equal ones
+        for u, v in zip(us[stuck].tolist(), vs[stuck].tolist()):
+            compare(x.order[x.begin[u]:x.end[u]], y.order[y.begin[v]:y.end[v]], same and u == v)
+        done |= stuck
+        return us[~done], vs[~done]
+
+    def tiles(a: np.ndarray, b: np.ndarray, own: bool):
+        """Node pairs of a matrix that no bound prunes, tile by tile, with their cosines."""
+        loose = reach + SLACK + x.radii[a] + y.radii[b].max()
+        floor = np.maximum(-2, 1 - loose * loose / 2 - SLACK).astype(np.float32)
+        rows = max(1, TILE // len(b))
+        for k in range(0, len(a), rows):
+            cos = x.rough_centres[a[k:k + rows]] @ y.rough_centres[b].T
+            at = np.flatnonzero((cos >= floor[k:k + rows, None]).ravel())
+            i, j = k + at // len(b), at % len(b)
+            cos = cos.ravel()[at]
+            left = i <= j if own else np.full(len(i), True)
+            size = x.sizes[a[k:k + rows]]
+            if own:  # pairs above the diagonal: what follows each row
+                after = np.concatenate((np.cumsum(y.sizes[b][::-1])[::-1][1:], [0]))
+                total = int((size * after[k:k + rows]).sum())
+                seen = (left & (i < j))
+            else:
+                total, seen = int(size.sum() * y.sizes[b].sum()), left
+            counts["pruned"] += total - int((x.sizes[a[i[seen]]] * y.sizes[b[j[seen]]]).sum())
+            yield a[i[left]], b[j[left]], cos[left]
+
+    def matrix(a: np.ndarray, b: np.ndarray, own: bool) -> None:
+        while True:
+            # some rows tell whether the bounds prune at this level
+            some = a[::max(1, len(a) // LOOK)]
+            bound = reach + SLACK + x.radii[some][:, None] + y.radii[b][None, :]
+            cos = x.rough_centres[some] @ y.rough_centres[b].T
+            if (cos >= 1 - bound * bound / 2 - SLACK).mean() * FEW <= 1:
+                break
+            widest = max(x.radii[a].max(), y.radii[b].max())
+            wide_x, wide_y = (t.kids[n] * (t.radii[n] > widest / 2) > 0 for t, n in ((x, a), (y, b)))
+            if widest <= reach / 8 or not (wide_x.any() or wide_y.any()):
+                under = lambda t, n: np.concatenate(
+                    [t.order[t.begin[k]:t.end[k]] for k in n.tolist()])
+                compare(under(x, a), under(y, b), own)
+                return
+            a = np.concatenate((a[~wide_x], _below(x, a[wide_x])))
+            b = a if own else np.concatenate((b[~wide_y], _below(y, b[wide_y])))
+        for us, vs, cos in tiles(a, b, own):
+            push(*kept(us, vs, cos))
+
+    def push(us: np.ndarray, vs: np.ndarray) -> None:
+        """Put node pairs aside in lists whose children fit a tile."""
+        if not len(us):
+            return
+        times = np.maximum(x.kids[us], 1) * np.maximum(y.kids[vs], 1)
+        many = times >= MATRIX
+        for u, v in zip(us[many].tolist(), vs[many].tolist()):
+            a = _below(x, np.array([u]))
+            own = same and u == v
+            todo.append((a, a if own else _below(y, np.array([v])), own))
+        us, vs, times = us[~many], vs[~many], times[~many]
+        part = np.cumsum(times) // (TILE // 4)
+        for k in np.unique(part).tolist():
+            todo.append((us[part == k], vs[part == k], None))
+
+    todo: list[tuple] = []
+    push(*kept(np.zeros(1, np.int64), np.zeros(1, np.int64),
+               np.array([float(x.centres[0] @ y.centres[0])])))
     while todo:
-        a, b = todo.pop()
-        own = same and a == b
-        p, q = x.order[x.begin[a]:x.end[a]], y.order[y.begin[b]:y.end[b]]
-        gap = 0.0 if own else float(np.sqrt(((x.centres[a] - y.centres[b]) ** 2).sum()))
-        if gap + x.radii[a] + y.radii[b] < reach - SLACK:
-            whole(p, q, own)
-            continue
-        kids_x, kids_y = x.children[a], y.children[b]
-        if len(p) * len(q) <= TILE // 16 or not (len(kids_x) or len(kids_y)):
-            compare(p, q, own)
-            continue
-        kids_x = kids_x if len(kids_x) else np.array([a])
-        kids_y = kids_y if len(kids_y) else np.array([b])
-        kept = []
-        for k in range(0, len(kids_x), 1024):
-            part = kids_x[k:k + 1024]
-            # squared distance of unit vectors: 2 - 2 cos
-            bound = reach + SLACK + x.radii[part][:, None] + y.radii[kids_y][None, :]
-            keep = x.rough_centres[part] @ y.rough_centres[kids_y].T >= 1 - bound * bound / 2 - SLACK
-            if own:
-                keep &= part[:, None] <= kids_y[None, :]
-            i, j = np.nonzero(keep)
-            kept.append((part[i], kids_y[j]))
-        us, vs = (np.concatenate([k[n] for k in kept]) for n in range(2))
-        if len(us) * FEW > len(kids_x) * len(kids_y):
-            compare(p, q, own)  # the bounds tell next to nothing here
+        us, vs, own = todo.pop()
+        if own is not None:
+            matrix(us, vs, own)
             continue
-        todo += [(u, v) for u, v in zip(us.tolist(), vs.tolist())
-                 if not (same and u == v and x.sizes[u] == 1)]
+        # the children of every pair, each with each
+        m_x, m_y = np.maximum(x.kids[us], 1), np.maximum(y.kids[vs], 1)
+        times = m_x * m_y
+        pair = np.repeat(np.arange(len(us)), times)
+        nth = np.arange(len(pair)) - np.repeat(np.cumsum(times) - times, times)
+        first = lambda t, n: np.where(t.kids[n] > 0, t.first_kid[n], n)
+        i = first(x, us)[pair] + nth // m_y[pair]
+        j = first(y, vs)[pair] + nth % m_y[pair]
+        once = ~(same & (us == vs)[pair]) | (i <= j)
+        i, j = i[once], j[once]
+        cos = np.einsum("ij,ij->i", x.rough_centres[i], y.rough_centres[j])
+        push(*kept(i, j, cos))
     return n_x, n_y, edges
 
 
@@ -284,9 +395,9 @@ def similar_vectors(rows: DataFrame, least: float = 0.9) -> DataFrame:
     centres, chosen from a sample of at most 4096 vectors: the top of the cover
     tree. A cell of more than its share of nodes is cut into blocks of at most 4 MB,
     so a hot direction is many blocks. Every block builds its cover tree; every pair
-    of blocks is one row that walks both trees together. In high dimensions, where random vectors
-    are all equally far apart, no bound prunes pairs of far blocks and the work
-    grows with the square of the number of different vectors.
+    of blocks is one row that walks both trees together. In high dimensions, where random
+    vectors are all equally far apart, no bound prunes pairs of far blocks: the bounds of
+    single vectors do, and the work grows with the square of the number of different ones.
 
     ``rows`` needs ``vec_id, embedding``; other columns are ignored. Returns a row
     per row: ``vec_id, n_links`` (other rows linked directly), ``component_id``
@@ -328,18 +439,22 @@ def similar_vectors(rows: DataFrame, least: float = 0.9) -> DataFrame:
             "nodes binary, copies binary, tree binary"),
         "blocks")
 
-    # pairs of blocks of the same dimension that the bound of their roots does not prune
-    root = lambda k: packed.select("dim", *[
+    # pairs of blocks of the same dimension that the bound of their roots does not prune;
+    # the first side is dealt over parts, the second, without its points, goes to each
+    parts = -(-count // ROOTS)
+    root = lambda k, part: packed.select("dim", part.alias("part"), *[
         F.col(c).alias(n) for c, n in (("block", k), ("centre", f"c_{k}"), ("radius", f"r_{k}"))])
+    dealt, everywhere = F.pmod("block", F.lit(parts)), F.explode(
+        F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))
     gap = F.aggregate(F.zip_with("c_x", "c_y", lambda p, q: (p - q) * (p - q)), F.lit(0.0),
                       lambda s, v: s + v)
     reach = float(np.sqrt(max(0.0, 2 - 2 * least))) + SLACK
-    pairs = root("x").join(root("y"), "dim").where("x <= y").where(
+    pairs = root("x", dealt).join(root("y", everywhere), ["dim", "part"]).where("x <= y").where(
         F.sqrt(gap) <= F.col("r_x") + F.col("r_y") + reach).select("x", "y", "dim")
     side = lambda k: packed.select(*[
         F.col(c).alias(k if c == "block" else f"{c}_{k}")
         for c in ("block", "vectors", "nodes", "copies", "tree")])
-    loaded = (pairs.repartition(max(LEAST_BLOCKS, count * count // 8), "x", "y")
+    loaded = (pairs.repartition(max(LEAST_BLOCKS, min(count * count // 8, MOST_TASKS)), "x", "y")
               .join(side("x"), "x").join(side("y"), "y"))
     met = materialize(loaded.mapInArrow(
         _traverse(least), "node long, links long, a long, b long"), "met")

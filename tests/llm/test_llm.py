@@ -300,6 +300,51 @@ def test_cover_tree():
     assert ((n_x + n_y) == (points @ points.T >= 0.9).sum(1) - 1).all()
 
 
+@pytest.mark.parametrize("noise, dim, least", [
+    (0.33, 64, 0.9), (0.02, 64, 0.9), (1.0, 3, 0.9), (0.0, 8, 0.9), (1e-9, 8, 0.9), (1e-9, 4, 1.0)])
+def test_dual_traversal(noise, dim, least):
+    """Hot directions, loose and tight; few dimensions; copies and what rounding makes alike."""
+    rng = np.random.default_rng(2)
+    hot = rng.normal(size=dim)
+    sides = [hot + noise * rng.normal(size=(n, dim)) for n in (700, 400)]
+    sides = [np.concatenate((s, rng.normal(size=(90, dim)))) for s in sides]
+    x, y = (s / np.linalg.norm(s, axis=1, keepdims=True) for s in sides)
+    w_x, w_y = rng.integers(1, 4, len(x)), rng.integers(1, 4, len(y))
+    tree, other = covertree.Tree(x), covertree.Tree(y)
+    if least < 1:
+        near = (x[:, None, :] * y[None, :, :]).sum(2) >= least
+        counts = {}
+        n_x, n_y, edges = covertree.dual(tree, other, w_x, w_y, least, counts)
+        assert (n_x == near @ w_y).all() and (n_y == near.T @ w_x).all()
+        assert sum(counts.values()) == len(x) * len(y)
+        assert all(near[i, j] for i, j in edges)
+    counts = {}
+    n_x, n_y, edges = covertree.dual(tree, tree, w_x, w_x, least, counts)
+    assert sum(counts.values()) == len(x) * (len(x) - 1) // 2
+    if least < 1:
+        near = (x[:, None, :] * x[None, :, :]).sum(2) >= least
+        np.fill_diagonal(near, False)
+        assert (n_x + n_y == near @ w_x).all()
+        a, b = np.nonzero(near)
+        group = groups(range(len(x)), list(zip(a.tolist(), b.tolist())))
+        assert groups(range(len(x)), edges) == group
+
+
+def test_bounds_prune(spark, sf):
+    """Among random directions nearly all pairs fall to bounds, within and between trees."""
+    points = np.array([r.embedding for r in spark.read.parquet(
+        f"{sf}/embeddings.parquet").collect()], float)
+    points /= np.linalg.norm(points, axis=1, keepdims=True)
+    half = len(points) // 2
+    trees, counts = [covertree.Tree(p) for p in (points[:half], points[half:])], {}
+    w = np.ones(len(points), np.int64)
+    covertree.dual(*trees, w[:half], w[half:], 0.9, counts)
+    for tree in trees:
+        covertree.dual(tree, tree, w[:len(tree.points)], w[:len(tree.points)], 0.9, counts)
+    assert sum(counts.values()) == len(points) * (len(points) - 1) // 2
+    assert counts["pruned"] > 0.9 * sum(counts.values())
+
+
 def test_passages(spark, sf):
     table = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     where = defaultdict(set)

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.llm.steps import materialize
 
-MIN_CHARS = 50
-_LINE = "struct<at:int,h1:bigint,h2:bigint,chars:int>"
+COUNTS = ("n_lines", "n_removed", "longest_run")
+_LINE = "struct<at:int,h1:bigint,h2:bigint>"
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -17,7 +17,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _lines(text) -> F.Column:
-    """The lines that are not blank: number, 128 bits of hash, length; ends trimmed."""
+    """The lines that are not blank: number, 128 bits of hash; ends trimmed."""
     every = F.transform(
         F.split(F.coalesce(text, F.lit("")), "\n"),
         lambda x, i: F.struct(i.alias("at"), F.btrim(x, F.lit(" \t\r")).alias("line")))
@@ -25,8 +25,7 @@ def _lines(text) -> F.Column:
         F.filter(every, lambda x: x["line"] != ""),
         lambda x: F.struct(
             x["at"].alias("at"), F.xxhash64(x["line"]).alias("h1"),
-            F.xxhash64(F.lit(7), x["line"], F.lit(7)).alias("h2"),
-            F.length(x["line"]).alias("chars")))
+            F.xxhash64(F.lit(7), x["line"], F.lit(7)).alias("h2")))
 
 
 def _ranks(groups: DataFrame, *order: str) -> DataFrame:
@@ -79,25 +78,27 @@ def _earlier(levels: list[DataFrame]) -> DataFrame:
     return state.where("NOT mark AND lines > 0").select("g", "lines", "first")
 
 
-def repeated_runs(docs: DataFrame, min_chars: int = MIN_CHARS) -> tuple[DataFrame, DataFrame]:
-    """Copies of whole documents, and lines to delete from all others.
+def repeated_runs(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Copies of whole documents, lines to delete from others, and repeated rows.
 
-    The first table is ``(doc_id, _th)`` of documents whose lines, all of them, are
-    those of an earlier document; the second ``(doc_id, _th, removed)`` with the
-    numbers of the lines, from 0, that later copies of repeated runs hold.
+    The first table is ``(doc_id, _th, longest)`` of documents whose lines, all of
+    them, are those of an earlier document; the second ``(doc_id, _th, removed,
+    longest)`` with the numbers of the lines, from 0, that later copies of repeated
+    runs hold, and the lines of the longest such run; the third ``(doc_id, _th)`` of
+    rows with lines that repeat another row's identifier and text.
     """
     base = materialize(
         _keyed(docs.select("doc_id", "text")).select("doc_id", "_th", _lines(F.col("text")).alias(
             "lines")).withColumns({
                 "n": F.size("lines"), "s1": F.xxhash64(F.col("lines.h1")),
-                "s2": F.xxhash64(F.col("lines.h2")),
-                "chars": F.aggregate("lines", F.lit(0).cast("long"),
-                                     lambda s, x: s + x["chars"])}).where("n > 0"), "lines")
+                "s2": F.xxhash64(F.col("lines.h2"))}).where("n > 0"), "lines")
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_th")
     heads = base.groupBy("s1", "s2", "n").agg(F.min(key).alias("head"))
     joined = base.join(heads, ["s1", "s2", "n"])
-    copies = joined.where((key != F.col("head")) & (F.col("chars") >= min_chars)).select(
-        "doc_id", "_th").distinct()
+    copies = joined.where(key != F.col("head")).select(
+        "doc_id", "_th", F.col("n").cast("long").alias("longest")).distinct()
+    repeats = materialize(base.groupBy("doc_id", "_th").agg(F.count("*").alias("n")).where("n > 1")
+                          .select("doc_id", "_th"), "repeats")
     order = [F.col("doc_id").asc_nulls_last(), F.col("_th")]
     # one more line of no identifier ends every document
     ended = F.concat("lines", F.array(F.lit(None).cast(_LINE)))
@@ -105,45 +106,35 @@ def repeated_runs(docs: DataFrame, min_chars: int = MIN_CHARS) -> tuple[DataFram
         joined.where(key == F.col("head")).dropDuplicates(["doc_id", "_th"])
         .select("doc_id", "_th", ended.alias("lines")).orderBy(*order)
         .select("doc_id", "_th", F.posexplode("lines").alias("pos", "line"))
-        .select("doc_id", "_th", "pos", "line.*")
+        .select("doc_id", "_th", "line.*")
         .withColumn("g", F.monotonically_increasing_id()), "positions")
-    text = text.withColumn("d", F.col("g") - F.col("pos"))
 
     names = text.where("at IS NOT NULL").groupBy("h1", "h2").agg(F.count("*").alias("n")).where(
         "n > 1")
     ranked = _ranks(names.select("h1", "h2"), "h1", "h2")
     repeated = materialize(
         text.where("at IS NOT NULL").join(ranked, ["h1", "h2"])
-        .select("g", "d", "at", "chars", "doc_id", "_th", F.col("rank_").alias("rank")), "repeated")
+        .select("g", "at", "doc_id", "_th", F.col("rank_").alias("rank")), "repeated")
     levels = [repeated.select("g", "rank")]
     while not levels[-1].isEmpty():
         levels.append(_double(levels[-1], 1 << (len(levels) - 1)))
     runs = _earlier(levels[:-1]) if len(levels) > 1 else repeated.select(
         "g", F.lit(0).cast("long").alias("lines"), F.col("g").alias("first")).where("lines > 0")
+    # every line of a later copy begins the rest of that copy, so all of them are here
+    removed = (repeated.join(runs, "g").groupBy("doc_id", "_th")
+               .agg(F.array_sort(F.collect_list("at")).alias("removed"),
+                    F.max("lines").alias("longest")))
+    return copies, removed, repeats
 
-    along = Window.partitionBy("d").orderBy("g")
-    upto = materialize(repeated.withColumn("upto", F.sum("chars").over(along)), "upto")
-    last = upto.select(F.col("g").alias("_end"), F.col("upto").alias("_sum"))
-    long_enough = (
-        runs.join(upto.select("g", "chars", "upto"), "g")
-        .join(last, F.col("g") + F.col("lines") - 1 == F.col("_end"))
-        .where(F.col("_sum") - F.col("upto") + F.col("chars") >= min_chars)
-        .select("g", (F.col("g") + F.col("lines")).alias("end")))
-    reach = F.max("end").over(along.rowsBetween(Window.unboundedPreceding, 0))
-    removed = (upto.join(long_enough, "g", "left").withColumn("reach", reach)
-               .where("reach > g").groupBy("doc_id", "_th")
-               .agg(F.array_sort(F.collect_list("at")).alias("removed")))
-    return copies, removed
-
-
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+
+def dedup_lines(docs: DataFrame) -> DataFrame:
     """Delete every later copy of a run of lines that occurs more than once.
 
     Lines are compared without blanks at their ends; blank lines are no part of
     runs. Documents stand in order of ``doc_id`` (null last), then of the hash of
     their text. A run at some line is deleted if the same lines in a row begin
-    anywhere earlier, also in the same document, and hold ``min_chars`` characters
-    or more together; so the first copy of everything stays.
+    anywhere earlier, also in the same document, whatever its length; so the first
+    copy of everything stays.
 
     Documents with the same lines as an earlier one are deleted whole before
     anything else: every run in them is in the first one too. All other lines in
@@ -153,32 +144,48 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     shares with an earlier one.
 
     ``docs`` needs ``doc_id, text``. Returns all rows and columns, ``text`` without
-    the deleted lines, and ``n_lines`` (not blank), ``n_removed``. A text that is
-    left without lines is empty; texts that lose nothing stay as they are, also null
-    and empty ones; rows that repeat identifier and text count as one document and
-    are treated alike; no rows give no rows; other columns may have any name but
-    ``n_lines``, ``n_removed`` and those that begin with ``_``.
+    the deleted lines, and the longs ``n_lines`` (not blank), ``n_removed``,
+    ``longest_run`` (lines of the longest run deleted that is repeated as a whole; 0
+    if none). A text that is left without lines is empty; texts that lose nothing
+    stay as they are, also null and empty ones. Of rows with lines that repeat
+    identifier (or its absence) and text, one is kept or cut as one document, the
+    others are copies of it. No rows give no rows. Other columns may have any name;
+    those named as a result give way to it.
     """
-    copies, removed = repeated_runs(docs, min_chars)
-    plan = copies.select("doc_id", "_th", F.lit(True).alias("_whole"),
-                         F.lit(None).cast("array<int>").alias("_removed")).unionByName(
-        removed.select("doc_id", "_th", F.lit(False).alias("_whole"),
-                       F.col("removed").alias("_removed"))).select(
-        F.col("doc_id").alias("_id"), F.col("_th").alias("_h"), "_whole", "_removed")
-    keyed = _keyed(docs)
-    both = keyed.join(
-        plan, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_h")), "left")
+    copies, removed, repeats = repeated_runs(docs)
+    none = F.lit(None).cast("array<int>")
+    plan = copies.select("doc_id", "_th", F.lit(True).alias("whole"), none.alias("removed"),
+                         "longest").unionByName(removed.select(
+                             "doc_id", "_th", F.lit(False).alias("whole"), "removed", "longest"))
+    # names of the caller stay within a struct
+    others = [c for c in docs.columns if c not in ("text", *COUNTS)]
+    rows = _keyed(docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in others])
+                              .alias("others"))).withColumn("again", F.lit(False))
+    on = lambda side: (F.col("doc_id").eqNullSafe(side["id"])
+                       & (F.col("_th") == side["h"]))
+    named = lambda side: side.withColumnsRenamed({"doc_id": "id", "_th": "h"})
+    if not repeats.isEmpty():
+        twice = named(repeats)
+        many = materialize(rows.join(twice, on(twice), "left_semi").withColumn(
+            "row", F.monotonically_increasing_id()), "repeated-rows")
+        kept = named(many.groupBy("doc_id", "_th").agg(F.min("row").alias("kept")))
+        again = many.join(kept, on(kept)).withColumn("again", F.col("row") != F.col("kept"))
+        rows = rows.join(twice, on(twice), "left_anti").unionByName(
+            again.select(*rows.columns))
+    side = named(plan)
+    n = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"),
+                        lambda x: F.btrim(x, F.lit(" \t\r")) != "")).cast("long")
+    both = rows.join(side, on(side), "left").withColumn("n", n)
+    whole = F.col("again") | F.coalesce("whole", F.lit(False))
+    counted = both.withColumn("cut", F.when(whole, F.col("n")).otherwise(
+        F.coalesce(F.size("removed"), F.lit(0)).cast("long"))).withColumn(
+        "longest", F.when(F.col("again"), F.col("n")).otherwise(F.coalesce("longest", F.lit(0))))
     lines = F.split("text", "\n")
-    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "_removed"),
+    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "removed"),
                        lambda i: F.get(lines, i))
-    n_lines = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"),
-                              lambda x: F.btrim(x, F.lit(" \t\r")) != ""))
-    n_removed = F.when(F.col("_whole"), F.col("_n")).otherwise(
-        F.coalesce(F.size("_removed"), F.lit(0)))
-    text = (F.when(F.col("_cut") == 0, F.col("text"))
-            .when(F.col("_cut") == F.col("_n"), F.lit("")).otherwise(F.array_join(left, "\n")))
-    counted = both.withColumn("_n", n_lines).withColumn(
-        "_cut", F.when(F.col("_whole").isNull(), 0).otherwise(n_removed))
+    text = (F.when(F.col("cut") == 0, F.col("text"))
+            .when(F.col("cut") == F.col("n"), F.lit("")).otherwise(F.array_join(left, "\n")))
     return counted.select(
-        *[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns],
-        F.col("_n").cast("long").alias("n_lines"), F.col("_cut").cast("long").alias("n_removed"))
+        *[text.alias("text") if c == "text" else F.col("others").getField(c).alias(c)
+          for c in docs.columns if c not in COUNTS],
+        *[F.col(c).alias(name) for c, name in zip(("n", "cut", "longest"), COUNTS)])

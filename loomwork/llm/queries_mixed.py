@@ -108,31 +108,41 @@ def op8_mix_sources(spark, d):
         "doc_id", "size", "source_size", "target", "taken")
 
 
-OP10_SQL = """
+OP10_SQL = f"""
 WITH said AS (
   SELECT conv_id, turn, coalesce(text, '') AS content,
          CASE WHEN coalesce(role, '') = '' THEN 'unknown' ELSE role END AS speaker
   FROM conversations),
+numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id
+    ORDER BY turn NULLS FIRST, speaker, content) - 1 AS position FROM said),
 parts AS (
   SELECT DISTINCT conv_id, speaker AS perspective FROM said WHERE speaker <> 'system'),
 seen AS (
-  SELECT said.conv_id, perspective, turn, content, speaker = perspective AS train,
+  SELECT n.conv_id, perspective, position, content, speaker = perspective AS train,
          CASE WHEN speaker = 'system' THEN 'system' WHEN speaker = perspective THEN 'assistant'
               ELSE 'user' END AS chat_role,
          CASE WHEN speaker NOT IN ('system', perspective)
               THEN regexp_replace(speaker, '[^A-Za-z0-9_-]', '_', 'g') END AS name
-  FROM said JOIN parts ON said.conv_id IS NOT DISTINCT FROM parts.conv_id),
+  FROM numbered n JOIN parts ON n.conv_id IS NOT DISTINCT FROM parts.conv_id),
 shown AS (
   SELECT *, '<|im_start|>' || chat_role || coalesce(' name=' || name, '') || chr(10) AS header
-  FROM seen)
-SELECT conv_id, perspective, turn, chat_role, name,
-       header || content || '<|im_end|>' || chr(10) AS segment, train,
-       CAST(length(header) AS INTEGER) AS mask_start,
-       CAST(length(header) + CASE WHEN train THEN length(content) + 10 ELSE 0 END AS INTEGER)
-         AS mask_end
-FROM shown"""
+  FROM seen),
+segments AS (
+  SELECT *, header || content || '<|im_end|>' || chr(10) AS segment FROM shown),
+placed AS (
+  SELECT *, sum(length(segment)) OVER (PARTITION BY conv_id, perspective ORDER BY position)
+            - length(segment) AS begins FROM segments)
+SELECT conv_id, perspective, position // {chat.PART} AS part, CAST(count(*) AS INTEGER) AS n_turns,
+       CAST(min(begins) AS BIGINT) AS "offset", string_agg(segment, '' ORDER BY position) AS text,
+       coalesce(string_agg(
+         (begins + length(header)) || ':' || (begins + length(header) + length(content) + 10), ','
+         ORDER BY position) FILTER (train), '') AS masks
+FROM placed GROUP BY conv_id, perspective, part"""
 
 
 @query(OP10_SQL)
 def op10_perspectives(spark, d):
-    return chat.rotate(table(spark, d, "conversations")).drop("content")
+    parts = chat.dialogues(chat.rotate(table(spark, d, "conversations")))
+    spans = F.transform("masks", lambda m: F.concat_ws(":", m["start"], m["end"]))
+    return parts.withColumn("masks", F.array_join(spans, ","))

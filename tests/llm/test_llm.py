@@ -187,6 +187,33 @@ def test_chat(spark):
     whole = chat.dialogues(got).where("perspective = 'Ann B'").collect()
     assert whole[0].text == "".join(r.segment for r in ann)
     assert [whole[0].text[a:b] for a, b in whole[0].masks] == ["hi<|im_end|>"]
+    assert chat.dialogues(chat.rotate(turns.limit(0))).count() == 0
+
+
+def test_dialogues(spark, monkeypatch):
+    """Equal and missing turn numbers, names that clash, parts of few turns, spans of few parts."""
+    monkeypatch.setattr(chat, "SPAN", 2)
+    turns = spark.createDataFrame(
+        [(c, None if i % 3 == 0 else 7, ["a", "b", "system"][i % 5 % 3], f"text {i % 20}" * (i % 4))
+         for c in (1, None) for i in range(60)], "conv_id long, turn int, role string, text string"
+    ).withColumn("position", F.lit("x")).withColumn("_task", F.lit(2)).withColumn("part", F.lit(3))
+    rotated = chat.rotate(turns)
+    parts = chat.dialogues(rotated, 7).orderBy("part").collect()
+    for conv in (1, None):
+        rows = sorted((r for r in turns.collect() if r.conv_id == conv),
+                      key=lambda r: (r.turn is not None, r.turn, r.role, r.text))
+        for who in ("a", "b"):
+            text, own = "", []
+            for r in rows:
+                role = ("system" if r.role == "system" else
+                        "assistant" if r.role == who else f"user name={r.role}")
+                text += f"<|im_start|>{role}\n{r.text}<|im_end|>\n"
+                own += [f"{r.text}<|im_end|>"] if r.role == who else []
+            mine = [p for p in parts if p.conv_id == conv and p.perspective == who]
+            assert "".join(p.text for p in mine) == text
+            assert [p.n_turns for p in mine] == [7] * 8 + [4]
+            assert all(text[p.offset:].startswith(p.text) for p in mine)
+            assert [text[a:b] for p in mine for a, b in p.masks] == own
 
 
 # --- copies --------------------------------------------------------------------------
@@ -414,6 +441,24 @@ def test_lines_edges(spark):
     assert linededup.dedup_lines(rows.limit(0)).count() == 0
 
 
+def test_short_lines_and_repeated_rows(spark):
+    short = "a line of thirty characters xx"
+    rows = [(i, f"own {i}\n{short}", "en", "a") for i in range(1, 30)]
+    rows += [(None, "no\nidentifier", "en", "b")] * 3 + [(50, "two\nequal rows", "en", "b")] * 2
+    table = docs(spark, rows).withColumn("n_lines", F.lit("clash")).withColumn("_th", F.lit(1.5)) \
+        .withColumn("row.x", F.lit(2))
+    out = linededup.dedup_lines(table)
+    assert out.columns == [*[c for c in table.columns if c != "n_lines"], *linededup.COUNTS]
+    got = out.collect()
+    assert sorted(r.text for r in got if (r.doc_id or 99) < 30) == sorted(
+        [f"own 1\n{short}"] + [f"own {i}" for i in range(2, 30)])
+    assert {(r.n_removed, r.longest_run) for r in got if 1 < (r.doc_id or 0) < 30} == {(1, 1)}
+    assert sorted(r.text for r in got if r.doc_id is None) == ["", "", "no\nidentifier"]
+    assert sorted((r.text, r.n_removed, r.longest_run) for r in got if r.doc_id == 50) == [
+        ("", 2, 2), ("two\nequal rows", 0, 0)]
+    assert {(r["_th"], r["row.x"], r.hits) for r in got} == {(1.5, 2, "clash")}
+
+
 def test_licenses(spark, sf):
     table = spark.read.parquet(f"{sf}/documents.parquet")
     scanner = licenses.train(table)

@@ -107,6 +107,28 @@ def test_batches_of_records(spark, tmp_path, listened):
     assert seen == {n: list(range(50 * n, min(50 * n + 50, 230))) for n in range(5)}
 
 
+def test_progress_of_many_short_batches(spark, tmp_path):
+    folder, check = str(tmp_path / "in"), str(tmp_path / "check")
+    spark.range(120).coalesce(1).write.parquet(folder)
+    listener = progress.ProgressTable(spark, str(tmp_path / "out"))
+    spark.streams.addListener(listener)
+    try:
+        feed = records.record_feed(spark, folder, check, 2)
+        done = records.run_records(progress.observed(feed), lambda b, n: b.collect(), check)
+        listener.wait(done, 3)  # a job for each of 60 batches took longer
+    finally:
+        spark.streams.removeListener(listener)
+    got = {r.batch: r.records for r in progress.batches(spark, listener.path).collect()}
+    assert got == dict.fromkeys(range(60), 2)
+
+
+def test_a_batch_run_again_replaces_its_row(spark, tmp_path):
+    path = str(tmp_path / "out")
+    spark.createDataFrame([(0, 1, 5), (1, 2, 5), (1, 3, 4)], "batch long, nr long, records long"
+                          ).write.parquet(path)
+    assert {r.batch: r.records for r in progress.batches(spark, path).collect()} == {0: 5, 1: 4}
+
+
 def test_records_go_on_after_a_failure(spark, tmp_path, listened):
     folder, seen = three_files(spark, tmp_path), {}
 

@@ -129,6 +129,34 @@ def test_a_batch_run_again_replaces_its_row(spark, tmp_path):
     assert {r.batch: r.records for r in progress.batches(spark, path).collect()} == {0: 5, 1: 4}
 
 
+def test_state_in_as_many_partitions_as_cores(spark, tmp_path):
+    folder, check, out = (str(tmp_path / n) for n in ("in", "check", "out"))
+    spark.createDataFrame([(i, "v", 1, i, i) for i in range(9)],
+                          "key long, value string, counter long, identifier int, arrival long"
+                          ).coalesce(1).write.parquet(folder)
+    before = spark.conf.get(records.PARTITIONS)
+    spark.conf.set(records.PARTITIONS, "64")
+    try:
+        answers = writes.write_stream(records.record_feed(spark, folder, check, 9))
+        query = records.run_records(answers, feeds.append_sink(out), check, "update")
+        assert spark.conf.get(records.PARTITIONS) == "64"
+    finally:
+        spark.conf.set(records.PARTITIONS, before)
+    assert feeds.collected(spark, out, answers.schema).count() == 9
+    parts = query.recentProgress[0]["stateOperators"][0]["numShufflePartitions"]
+    assert parts == spark.sparkContext.defaultParallelism
+
+
+def test_records_within_a_row_group(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(records, "PIECE", 16)
+    folder, check, out = (str(tmp_path / n) for n in ("in", "check", "out"))
+    spark.range(100).coalesce(1).write.parquet(folder)
+    feed = records.record_feed(spark, folder, check, 45, per_task=30)
+    records.run_records(feed, feeds.append_sink(out), check)
+    got = feeds.collected(spark, out, feed.schema).collect()
+    assert sorted((r.batch, r.id) for r in got) == [(i // 45, i) for i in range(100)]
+
+
 def test_records_go_on_after_a_failure(spark, tmp_path, listened):
     folder, seen = three_files(spark, tmp_path), {}
 

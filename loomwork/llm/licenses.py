@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.llm.steps import materialize
 
-DIMENSIONS = 4096
-SAMPLE_DOCUMENTS = 400  # of the corpus, for the unknown class, about
+CORPUS_WEIGHT = 4  # of all sentences of the corpus together, in examples for each one given
+STEPS = 10_000  # of a probability, for the threshold
 UNKNOWN = "unknown"
 
 # Public licence statements by family, and sentences that only sound like one.
@@ -71,9 +73,8 @@ def _tokens(text) -> F.Column:
 
 def _pairs(words) -> F.Column:
     """Word pairs, with the borders of the sentence."""
-    bounded = F.concat(F.array(F.lit("^")), words, F.array(F.lit("$")))
-    return F.transform(F.sequence(F.lit(1), F.size(bounded) - 1), lambda i: F.concat_ws(
-        " ", F.element_at(bounded, i), F.element_at(bounded, i + 1)))
+    return F.zip_with(F.concat(F.array(F.lit("^")), words), F.concat(words, F.array(F.lit("$"))),
+                      lambda a, b: F.concat(a, F.lit(" "), b))
 
 
 def _anchored(text) -> F.Column:
@@ -92,15 +93,7 @@ def sentences(docs: DataFrame) -> DataFrame:
     return lines.select("doc_id", "paragraph", F.posexplode(cut).alias("sentence", "text"))
 
 
-def _features(rows: DataFrame) -> DataFrame:
-    """Sparse counts of words and word pairs."""
-    words = rows.withColumn("words", _tokens(F.col("text")))
-    grams = words.withColumn("grams", F.concat("words", _pairs(F.col("words"))))
-    return HashingTF(inputCol="grams", outputCol="features", numFeatures=DIMENSIONS).transform(
-        grams).drop("grams")
-
-
-def _examples(spark: SparkSession) -> DataFrame:
+def _given() -> list[tuple[str, str]]:
     """Templates whole and with each word left out, and sentences that sound alike."""
     rows = []
     for family, texts in [*TEMPLATES.items(), (UNKNOWN, SOUND_ALIKE)]:
@@ -109,7 +102,25 @@ def _examples(spark: SparkSession) -> DataFrame:
             rows += [(family, text)] * 4
             if len(words) > 4:
                 rows += [(family, " ".join(words[:i] + words[i + 1:])) for i in range(len(words))]
-    return spark.createDataFrame(rows, "family string, text string")
+    return rows
+
+
+def _vocabulary() -> list[str]:
+    """Words and word pairs of the given examples."""
+    held = set()
+    for _, text in _given():
+        words = re.findall("[a-z0-9]+(?:[.][0-9]+)*", text.lower())
+        held |= {*words, *map(" ".join, zip(["^", *words], [*words, "$"]))}
+    return sorted(held)
+
+
+def _features(rows: DataFrame) -> DataFrame:
+    """Which words and word pairs of the given examples a sentence has."""
+    words = rows.withColumn("words", _tokens(F.col("text")))
+    grams = words.withColumn("grams", F.concat("words", _pairs(F.col("words"))))
+    return CountVectorizerModel.from_vocabulary(
+        _vocabulary(), inputCol="grams", outputCol="features", binary=True).transform(
+        grams).drop("grams")
 
 
 class Scanner:
@@ -118,40 +129,52 @@ class Scanner:
     def __init__(self, model, families: list[str], threshold: float):
         self.model, self.families, self.threshold = model, families, threshold
 
-    def best(self, rows: DataFrame) -> DataFrame:
-        """Add ``family`` and ``probability`` of the likeliest known family."""
-        scored = self.model.transform(_features(rows))
+    def likeliest(self, rows: DataFrame, *keep: str) -> DataFrame:
+        """``keep``, and ``family`` and ``probability`` of the likeliest known family."""
+        scored = self.model.transform(rows)
         known = F.slice(vector_to_array("probability"), 1, len(self.families) - 1)
         names = F.array(*[F.lit(f) for f in self.families[:-1]])
         return scored.withColumn("known", known).select(
-            *rows.columns, "words", F.array_max("known").alias("probability"),
+            *keep, F.array_max("known").alias("probability"),
             F.element_at(names, F.array_position("known", F.array_max("known")).cast("int"))
             .alias("family"))
 
+    def best(self, rows: DataFrame) -> DataFrame:
+        """Add ``words``, and ``family`` and ``probability`` of the likeliest known family."""
+        return self.likeliest(_features(rows), *rows.columns, "words")
+
+
+def train(docs: DataFrame) -> Scanner:
+    """Fit on the templates, and on the sentences of all documents for the unknown class.
 
-def train(docs: DataFrame, sample_documents: int = SAMPLE_DOCUMENTS) -> Scanner:
-    """Fit on the templates, and on sentences of about ``sample_documents`` documents for
-    the unknown class: half of them to train, half to calibrate. The threshold is
-    the probability that 99 of 100 unknown sentences stay below, one half at least."""
+    Different sentences without an anchor word are dealt in two halves by a hash, one to
+    train, one to calibrate; those with the same features are one example with their number
+    as weight, and all of them together weigh ``CORPUS_WEIGHT`` for each given example. The
+    threshold is the probability that 99 of 100 unknown sentences of the other half stay
+    below, one half at least, rounded up to ``1 / STEPS``."""
     spark = docs.sparkSession
     families = [*sorted(TEMPLATES), UNKNOWN]
-    n = max(1, docs.count())
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
-    share = min(1.0, sample_documents / n)
-    plain = docs.select("doc_id", "text").where(draw < int(share * (1 << 20)) + 1)
-    sample = materialize(
-        sentences(plain).where(~_anchored(F.col("text"))).where(F.length("text") < 2000)
-        .select("text", F.pmod(F.xxhash64("text"), F.lit(2)).alias("half")).distinct(), "unknown")
+    plain = sentences(docs.select("doc_id", "text")).where(~_anchored(F.col("text")))
+    patterns = materialize(
+        _features(plain.select("text")).select(F.xxhash64("text").alias("sentence"), "features")
+        .distinct().groupBy(F.pmod("sentence", F.lit(2)).alias("half"), "features").agg(
+            F.count("*").alias("n")), "unknown")
+    given = _given()
+    n = patterns.where("half = 0").agg(F.sum("n")).first()[0] or 1
     label = F.array_position(F.array(*[F.lit(f) for f in families]), F.col("family")) - 1
-    fit = materialize(_features(
-        _examples(spark).unionByName(sample.where("half = 0").select(
-            F.lit(UNKNOWN).alias("family"), "text"))
-        .withColumn("label", label.cast("double"))).select("label", "features"), "examples")
-    model = LogisticRegression(maxIter=40, regParam=1e-4, family="multinomial").fit(fit)
+    known = _features(spark.createDataFrame(given, "family string, text string"))
+    fit = materialize(known.select("family", "features", F.lit(1.0).alias("weight")).unionByName(
+        patterns.where("half = 0").select(
+            F.lit(UNKNOWN).alias("family"), "features",
+            (F.col("n") * (CORPUS_WEIGHT * len(given) / n)).alias("weight"))).select(
+        label.cast("double").alias("label"), "features", "weight"), "examples")
+    model = LogisticRegression(maxIter=40, regParam=1e-4, family="multinomial",
+                               weightCol="weight").fit(fit)
     scanner = Scanner(model, families, 0.5)
-    limit = scanner.best(sample.where("half = 1")).agg(
-        F.percentile_approx("probability", 0.99, 10000)).first()[0]
-    scanner.threshold = max(0.5, limit or 0.0)
+    step = F.ceil(F.col("probability") * STEPS)
+    limit = scanner.likeliest(patterns.where("half = 1"), "n").agg(
+        F.percentile(step, 0.99, F.col("n"))).first()[0]
+    scanner.threshold = max(0.5, (limit or 0.0) / STEPS)
     return scanner
 
 

@@ -473,6 +473,27 @@ def test_licenses(spark, sf):
     assert found.count() >= lines.where(F.col("line").isin(*known)).count() > 0
 
 
+def test_licenses_learn_from_all_documents(spark, monkeypatch):
+    """Every different sentence without an anchor counts once, also a long one."""
+    seen = {}
+
+    def recorded(df, tag):
+        seen[tag] = plain(df, tag)
+        return seen[tag]
+
+    plain = licenses.materialize
+    monkeypatch.setattr(licenses, "materialize", recorded)
+    long = "and on " * 400
+    rows = [(i, f"The first of {i}. The second of {i}.\nMIT License.\n{long}", "", "")
+            for i in range(1500)]
+    scanner = licenses.train(docs(spark, [*rows, (None, None, "", ""), (1500, "", "", "")]))
+    assert seen["unknown"].agg(F.sum("n")).first()[0] == 2 * 1500 + 2  # long lines, empty ones
+    assert seen["unknown"].count() <= 20  # by features and half
+    assert 0.5 <= scanner.threshold <= 1
+    weights = {r[0]: r[1] for r in seen["examples"].groupBy("label").agg(F.sum("weight")).collect()}
+    assert weights[len(licenses.TEMPLATES)] > licenses.CORPUS_WEIGHT * len(licenses._given())
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline as p
 

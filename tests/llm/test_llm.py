@@ -412,6 +412,63 @@ def test_passage_with_earlier_phrase(at):
     assert len(passages.matches(x, np.concatenate((copy, new(30), copy)), 46, 80, 100)) == 1
 
 
+def _linked(spark, texts):
+    rows = passages.repeated_passages(
+        docs(spark, [(i, t, None, None) for i, t in enumerate(texts)])).collect()
+    return groups(range(len(texts)), [(r.doc_id, r.match_doc_id) for r in rows])
+
+
+def test_every_similar_passage_is_found(spark):
+    """Passages at the threshold, in texts that share nothing else, or one phrase of 30 words."""
+    rng = np.random.default_rng(11)
+    new = lambda n: [f"w{i}" for i in rng.integers(0, 1 << 40, n)]
+    hot, pairs = new(30), []
+    for _ in range(40):
+        a = new(50)
+        pairs.append((a, a[:24] + new(1) + a[25:]))  # 41 of 51 shingles
+        a = new(94)
+        pairs.append((a, a[:31] + new(1) + a[32:63] + new(1) + a[64:]))
+        a = new(52)
+        pairs.append((a, a[:19] + a[14:36] + a[31:]))  # two phrases said twice
+        a = hot + new(20)
+        pairs.append((a, a[:35] + new(1) + a[36:]))
+        a = new(10) + hot + new(12)
+        pairs.append((a, a[:42] + new(1) + a[43:]))
+    texts = [" ".join(new(20) + t + new(20)) for pair in pairs for t in pair]
+    group = _linked(spark, texts)
+    assert [i for i in range(len(pairs)) if group[2 * i] != group[2 * i + 1]] == []
+    assert len(set(group.values())) == len(pairs)
+
+
+def test_near_copies_of_near_copies(spark):
+    """Of three texts the middle one is similar to both others, which are not to each other."""
+    rng = np.random.default_rng(12)
+    new = lambda n: [f"w{i}" for i in rng.integers(0, 1 << 40, n)]
+    texts = []
+    for _ in range(12):
+        a = new(52)
+        b = a[:14] + new(1) + a[15:]
+        c = b[:38] + new(1) + b[39:]
+        assert passages.matches(*[np.array([hash(tuple(t[i:i + 5])) for i in range(48)]).astype(
+            np.uint64) for t in (a, c)], 46, 80, 100) == []
+        texts += [" ".join(new(9) + t + new(9)) for t in (a, b, c)]
+    group = _linked(spark, texts)
+    assert all(len({group[3 * i + k] for k in range(3)}) == 1 for i in range(12))
+
+
+def test_least_run():
+    assert passages.least_run(46, 80, 100) == 12 and passages.least_common(46, 80, 100) == 41
+    assert passages.least_run(46, 100, 100) == 46 and passages.least_run(1, 80, 100) == 1
+
+
+def test_fewest_distinct():
+    x = np.random.default_rng(4).integers(0, 30, 90).astype(np.uint64)
+    for n in (90, 20, 7):
+        many = [len(set(x[i:min(i + 20, n)].tolist())) for i in range(max(1, n - 19))]
+        want = [min(many[max(0, min(c - 19, len(many) - 1)):c + 1]) for c in range(n)]
+        assert passages._fewest_distinct(x[:n], 20, np.arange(n)).tolist() == want
+
+
 def test_compact_windows():
     values = np.random.default_rng(2).integers(0, 1 << 62, 400).astype(np.uint64)
     got = set(zip(*(a.tolist() for a in passages.compact_windows(values, 20))))

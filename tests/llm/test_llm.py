@@ -461,6 +461,53 @@ def test_least_run():
     assert passages.least_run(46, 100, 100) == 46 and passages.least_run(1, 80, 100) == 1
 
 
+def test_texts_of_a_hub_are_matched_at_once(monkeypatch):
+    """Near copies of one hub need no step each; others, and all results, are as one by one."""
+    rng = np.random.default_rng(21)
+    new = lambda n: rng.integers(1, 1 << 62, n).astype(np.uint64)
+    hub, texts = new(400), []
+    for k in range(40):
+        copy = hub.copy()
+        for at in rng.integers(0, 390, k):
+            copy[at:at + 5] = new(5)
+        texts.append(np.concatenate((new(k), copy[k:], new(9))))
+    plain = len(texts)
+    texts += [np.concatenate((hub[200:300], new(60), hub[20:90], hub[90:150])), hub[:45], new(70),
+              np.concatenate((hub[:60], hub[30:120])), np.repeat(hub[:20], 30), new(0)]
+    calls, one = [], passages.matches
+    want = [one(x, hub, 46, 80, 100) for x in texts]
+    monkeypatch.setattr(passages, "matches", lambda *a: calls.append(1) or one(*a))
+    assert passages.matches_of_hub(texts, hub, 46, 80, 100) == want
+    assert len(calls) <= len(texts) - plain and all(want[:5]) and not want[plain + 1]
+    # the passages are similar, and no equal run is left out
+    for x, found in zip(texts[:plain], want):
+        for x0, x1, y0, y1 in found:
+            p, q = set(x[x0:x1 + 1].tolist()), set(hub[y0:y1 + 1].tolist())
+            assert len(p & q) >= 0.8 * len(p | q) and x1 - x0 >= 45
+
+
+def test_bound_of_repeated_words(monkeypatch):
+    """No similar passage is above the bound; sets as bits and as sets agree."""
+    rng = np.random.default_rng(22)
+    for trial in range(60):
+        runs = lambda: np.repeat(rng.integers(1, 9, 30), rng.integers(1, 7, 30)).astype(
+            np.uint64)
+        x, y = runs(), runs()
+        if trial % 2:
+            x[20:60] = y[10:50]
+        held, places = np.isin(x, y), np.argsort(x, kind="stable")
+        spare, base = passages._spare(x, held, places, 80, 100)
+        for a, b in rng.integers(0, len(x), (200, 2)):
+            if a <= b:
+                p = set(x[a:b + 1].tolist())
+                if len(p & set(y.tolist())) >= 0.8 * len(p):
+                    assert spare[b + 1] >= base[a]
+        monkeypatch.setattr(passages, "FEW", 256)
+        bits = passages.matches(x, y, 20, 80, 100)
+        monkeypatch.setattr(passages, "FEW", 0)
+        assert passages.matches(x, y, 20, 80, 100) == bits
+
+
 def test_fewest_distinct():
     x = np.random.default_rng(4).integers(0, 30, 90).astype(np.uint64)
     for n in (90, 20, 7):

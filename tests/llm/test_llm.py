@@ -412,6 +412,36 @@ def test_passage_with_earlier_phrase(at):
     assert len(passages.matches(x, np.concatenate((copy, new(30), copy)), 46, 80, 100)) == 1
 
 
+def test_frequent_shingles_meet_all_their_places():
+    """A near copy far into a text, all of whose shingles stand there some forty times."""
+    rng = np.random.default_rng(31)
+
+    def blocks():
+        draws = np.concatenate([rng.permutation(200) for _ in range(40)]).reshape(80, 100)
+        apart = rng.integers(1 << 20, 1 << 62, (80, 20))
+        return np.hstack((draws, apart)).astype(np.uint64).ravel()
+
+    x, y = blocks(), blocks()
+    x[3600:3700] = y[7200:7300]
+    x[[3630, 3660]] = 1 << 21, 1 << 22
+    assert passages.matches(x, y, 46, 80, 100) == [(3600, 3699, 7200, 7299)]
+
+
+def test_stretches_of_many_places(monkeypatch):
+    """Equal shingles side by side, however many are looked at together."""
+    rng = np.random.default_rng(32)
+    for met in (1, 7, 1 << 18):
+        monkeypatch.setattr(passages, "MET", met)
+        x, y = (rng.integers(0, 3, n).astype(np.uint64) for n in (40, 55))
+        equal = {(i, j) for i in range(40) for j in range(55) if x[i] == y[j]}
+        found = passages._stretches(x, y, np.argsort(y, kind="stable")).T.tolist()
+        assert found == sorted(found)
+        ways = [[(x0 + k, y0 + k) for k in range(x1 - x0 + 1)] for x0, x1, y0, _ in found]
+        assert sorted(p for w in ways for p in w) == sorted(equal)
+        assert all((w[0][0] - 1, w[0][1] - 1) not in equal for w in ways)
+        assert all(y1 - y0 == x1 - x0 for x0, x1, y0, y1 in found)
+
+
 def _linked(spark, texts):
     rows = passages.repeated_passages(
         docs(spark, [(i, t, None, None) for i, t in enumerate(texts)])).collect()

@@ -1,5 +1,9 @@
 """Streams in several batches give what the whole table gives."""
 
+import json
+
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -157,6 +161,49 @@ def test_records_within_a_row_group(spark, tmp_path, monkeypatch):
     assert sorted((r.batch, r.id) for r in got) == [(i // 45, i) for i in range(100)]
 
 
+def test_large_row_groups_are_cut(spark, tmp_path, monkeypatch):
+    """Batches of a large row group read pieces of it; records and their order stay."""
+    monkeypatch.setattr(records, "LARGE", 50, raising=False)
+    monkeypatch.setattr(records, "PIECE", 16)
+    folder, check, out = (str(tmp_path / n) for n in ("in", "check", "out"))
+    ids, at = pa.array(range(300)), 0
+    (tmp_path / "in").mkdir()
+    for name, rows, group in (("a", 200, 200), ("b", 20, 20), ("c", 80, 60)):
+        pq.write_table(pa.table({"id": ids.slice(at, rows), "other": ids.slice(at, rows)}),
+                       f"{folder}/{name}.parquet", row_group_size=group)
+        at += rows
+    indexes = []
+    plain = records._write
+    monkeypatch.setattr(records, "_write", lambda path, text: (indexes.append(text), plain(path, text)))
+    feed = records.record_feed(spark, folder, check, 45, per_task=30)
+    records.run_records(feed, feeds.append_sink(out), check)
+    got = feeds.collected(spark, out, feed.schema).collect()
+    assert sorted((r.batch, r.id, r.other) for r in got) == [(i // 45, i, i) for i in range(300)]
+    for name, _, rows in json.loads(indexes[0]):
+        held = pq.ParquetFile(name.removeprefix("file:")).metadata
+        assert held.num_rows == rows
+        assert max(held.row_group(g).num_rows for g in range(held.num_row_groups)) <= 20
+
+
+def test_columns_of_a_feed(spark, tmp_path):
+    folder, check = str(tmp_path / "in"), str(tmp_path / "check")
+    spark.range(10).selectExpr("id", "id + 1 AS other").coalesce(1).write.parquet(folder)
+    assert records.record_feed(spark, folder, check, 5, columns=["other"]).columns == ["other"]
+
+
+def test_batches_write_changes_of_the_state(spark, tmp_path):
+    """Not whole states; and the settings of the session stay as they were."""
+    folder, check, out = (str(tmp_path / n) for n in ("in", "check", "out"))
+    spark.createDataFrame([(i % 3, "v", 1, i, i) for i in range(9)],
+                          "key long, value string, counter long, identifier int, arrival long"
+                          ).coalesce(1).write.parquet(folder)
+    answers = writes.write_stream(records.record_feed(spark, folder, check, 3))
+    before = {k: spark.conf.get(k, None) for k in (records.PARTITIONS, *records.LOCAL_FILES)}
+    records.run_records(answers, feeds.append_sink(out), check, "update")
+    assert {k: spark.conf.get(k, None) for k in before} == before
+    assert list((tmp_path / "check" / "state").rglob("*.changelog"))
+
+
 def test_records_go_on_after_a_failure(spark, tmp_path, listened):
     folder, seen = three_files(spark, tmp_path), {}
 
